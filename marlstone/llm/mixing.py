@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,17 +79,18 @@ def word_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
     return map_batches(docs.select(*keep, F.col(text).alias("__text")), make, schema)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block: int = BLOCK, shard: int = SHARD, seed: int = SEED, uid: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, places). Documents: key, source, size, source_size, target, __uid. Places: where blocks go.
 
     Every source's words form a stream in an order by hash, cut into blocks. A place is (shard, slot, __uid,
     first, length): `length` words of a document from word `first`, in a slot of an output shard. A null text has
     no words and no places; a null source is a source, the last one; repeated rows are documents of their own; an
-    empty table gives no places. The driver holds one number for each source and shard, never one for a document.
+    empty table gives no places. `uid` names a column that tells rows apart, if there is one. The driver holds one number for each source and shard, never one for a document.
     """
     spark = docs.sparkSession
-    sized = word_counts(docs.select(F.col(key).alias("__key"), F.col(source).alias("__source"), F.col(text).alias("__words")), ["__key", "__source"], "__words")
-    sized = written(sized.withColumn("__uid", F.monotonically_increasing_id()))
+    own = [F.col(uid).alias("__uid")] if uid else []
+    sized = word_counts(docs.select(F.col(key).alias("__key"), F.col(source).alias("__source"), *own, F.col(text).alias("__words")), ["__key", "__source", *["__uid"] * bool(uid)], "__words")
+    sized = written(sized if uid else sized.withColumn("__uid", F.monotonically_increasing_id()))
     totals = {r[0]: (r[1], r[2]) for r in sized.groupBy("__source").agg(F.sum("size"), F.count("*")).collect()}
     names = sorted(totals, key=lambda s: (s is None, s or ""))
     want = targets({s: totals[s][0] for s in names})
@@ -142,6 +145,56 @@ def taken(documents: DataFrame, places: DataFrame) -> DataFrame:
     return documents.join(used, F.col("__uid") == F.col("__of"), "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("__of")
 
 
+def assembled(text: str, parts: list[tuple[int, int]], size: int) -> list[str]:
+    """The text's words as often as `parts` (first, length) take them: a text for each time, in page order, gaps as new lines."""
+    times: dict[int, tuple[int, int]] = {}
+    for first, length in parts:
+        times[first] = (length, times.get(first, (0, 0))[1] + 1)
+    out, spans = [], None
+    for copy in range(1, max((n for _, n in times.values()), default=0) + 1):
+        runs: list[list[int]] = []
+        for first, (length, n) in sorted(times.items()):
+            if n >= copy:
+                if runs and runs[-1][1] == first:
+                    runs[-1][1] += length
+                else:
+                    runs.append([first, first + length])
+        if runs == [[0, size]]:
+            out.append(text)
+            continue
+        if spans is None:
+            data = text.encode("utf-8", "surrogatepass")
+            spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        out.append("\n".join(data[spans[a][0] : spans[z - 1][1]].decode("utf-8", "surrogatepass") for a, z in runs))
+    return out
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", length: str = "n_chars", **options) -> DataFrame:
+    """The mix as rows with the columns of `docs`: a document once for each time that the mix takes words of it, with those words.
+
+    Documents that the mix doesn't take, those without words among them, don't occur. `length` is made anew.
+    """
+    names = docs.columns
+    marked = docs.withColumn("__uid", F.monotonically_increasing_id())
+    documents, places = mix(marked, key, source, text, uid="__uid", **options)
+    use = places.groupBy("__uid").agg(F.collect_list(F.struct("first", "length")).alias("__parts"), F.sum("length").alias("__taken"))
+    use = use.join(documents.select(F.col("__uid").alias("__of"), F.col("size").alias("__size")), F.col("__uid") == F.col("__of")).drop("__of", "__taken")
+    rows = marked.join(use, "__uid").select(*names, "__parts", "__size")
+
+    def make():
+        def step(x: dict) -> dict:
+            out = {n: [] for n in names}
+            for k, t in enumerate(x[text]):
+                for made in assembled(t, [(p["first"], p["length"]) for p in x["__parts"][k]], x["__size"][k]):
+                    for n in names:
+                        out[n].append(made if n == text else len(made) if n == length else x[n][k])
+            return out
+
+        return step
+
+    return map_batches(rows, make, docs.schema)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract digest over every document: the words that the mix takes of it."""
     documents, places = mix(table(spark, sf_dir, "documents"))

@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+from marlstone.llm.jaccard import op10_ngram_jaccard_join
 from marlstone.llm.mixing import op4_mix_sources
 from marlstone.llm.packing import op9_best_fit_packing
+from marlstone.llm.quality_classifier import op8_quality_classifier
+from marlstone.llm.quality_rules import op3_quality_rules
 from marlstone.llm.secrets import op1_secret_scans
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op4_mix_sources, op9_best_fit_packing)}
+
+
+def pipeline(spark, sf_dir):
+    """The stages of corpus_pipeline.py."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+OPERATORS = (
+    op1_secret_scans, op3_quality_rules, op4_mix_sources, op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join,
+)
+QUERIES = {**{f.__name__: f for f in OPERATORS}, "pipeline": pipeline}
 ORACLE: dict[str, str] = {}
