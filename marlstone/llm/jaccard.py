@@ -14,7 +14,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +22,8 @@ from marlstone.llm.components import components
 
 #: Words in a shingle; similarity as a fraction; sets in a leaf; sets of a root compared in one task; members beside
 #: their representative in one task; documents that tell which shingles are common, and in how many of them; ids
-#: that are broadcast at most; words that a task remembers; bytes of input for a bucket of prefixes.
-WORDS, ABOVE, BELOW, LEAF, BLOCK, CHUNK, SAMPLE, COMMON, SMALL, REMEMBERED, BUCKET = 5, 3, 4, 8, 1024, 64, 4000, 4, 1_000_000, 500_000, 16 << 20
+#: that are broadcast at most; bytes of input for a bucket of prefixes.
+WORDS, ABOVE, BELOW, LEAF, BLOCK, CHUNK, SAMPLE, COMMON, SMALL, BUCKET = 5, 3, 4, 8, 1024, 64, 4000, 4, 1_000_000, 16 << 20
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -35,23 +34,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Sorted distinct 64-bit shingle hashes of a text: A-Z lowered, words between the six ASCII spaces."""
+    """Sorted distinct 64-bit shingle hashes of a text: A-Z lowered, words between the six ASCII spaces.
 
-    def __init__(self):
-        class Known(dict):
-            def __missing__(self, word: bytes) -> int:
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[word] = value = xxhash.xxh3_64_intdigest(word)
-                return value
+    A word's hash is a difference of running sums of random numbers for bytes times powers of an odd number, divided
+    by the power at which it starts; so no word is looked at by itself.
+    """
 
-        self.known = Known()
+    def __init__(self):
+        rng = np.random.default_rng(20)
+        self.byte = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+        self.byte[ord("A") : ord("Z") + 1] = self.byte[ord("a") : ord("z") + 1]
+        self.space = np.zeros(256, dtype=bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.power, self.back = self.powers(1 << 16)
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        inverse = pow(int(PRIME), -1, 1 << 64)
+        out = np.full((2, n), 1, dtype=np.uint64)
+        out[0, 1:], out[1, 1:] = PRIME, inverse
+        return tuple(np.multiply.accumulate(out, axis=1))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8) if text else np.empty(0, dtype=np.uint8)
+        edge = np.flatnonzero(np.diff(self.space[data].view(np.int8), prepend=np.int8(1), append=np.int8(1)))
+        if not len(edge):
             return np.empty(0, dtype=np.uint64)
-        ids = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
+        while len(data) > len(self.power):
+            self.power, self.back = self.powers(2 * len(self.power))
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.byte[data] * self.power[: len(data)], out=sums[1:])
+        start, end = edge[::2], edge[1::2]
+        ids = mixed((sums[end] - sums[start]) * self.back[start])
         n = min(WORDS, len(ids))
         out = np.full(len(ids) - n + 1, n, dtype=np.uint64)
         for k in range(n):
@@ -66,11 +79,11 @@ def set_id(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each hash modulo a power of two of four bits a shingle, so a longer map folds onto a shorter one."""
+    """The set's size, then a bit for each hash modulo a power of two of four bits a shingle, so a longer map folds onto a shorter one."""
     bits = 1 << max(6, (4 * len(s) - 1).bit_length())
     out = np.zeros(bits, dtype=np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").tobytes()
+    return len(s).to_bytes(8, "little") + np.packbits(out, bitorder="little").tobytes()
 
 
 def folded(words: np.ndarray, to: int) -> np.ndarray:
@@ -178,13 +191,40 @@ def roots(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(find, "g bigint, sid bigint, n int, pivot bigint, pivot_n int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose sets are similar, by all their shingles; pairs are written tables.
+def compared(pairs: DataFrame, sets: DataFrame, similar: Callable) -> DataFrame:
+    """The pairs (a, b) that `similar(a's, b's)` holds for; sets have sid and s, pairs are a written table.
 
-    A set is sent once for each representative it meets, and a representative once for each CHUNK of its sets.
+    A set is sent once for each representative a that it meets, and a representative once for each CHUNK of its sets.
     """
-    needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    ids = written(rows.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("__id").alias("__id")).select("__id").distinct())
+    per = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("__n"))
+    dealt = written(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), "__n").alias("k")))
+    members = dealt.join(sets, F.col("b") == F.col("sid")).select("a", "k", "b", "s")
+    heads = dealt.select("a", "k").distinct().join(sets, F.col("a") == F.col("sid")).select("a", "k", F.lit(None).cast("bigint").alias("b"), "s")
+
+    def compare(t: pa.Table) -> pa.Table:
+        b, s = t.column("b").to_pylist(), [np.frombuffer(x, dtype=np.uint64) for x in t.column("s").to_pylist()]
+        head = s[b.index(None)]
+        hit = [x for x, y in zip(b, s, strict=True) if x is not None and similar(head, y)]
+        return pa.table({"a": pa.array([t.column("a")[0].as_py()] * len(hit), pa.int64()), "b": pa.array(hit, pa.int64())})
+
+    return members.unionByName(heads).groupBy("a", "k").applyInArrow(compare, "a bigint, b bigint")
+
+
+def may_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether bitmaps (behind the set's size) leave room for the overlap asked for."""
+    (n, x), (m, y) = (int(x[0]), x[1:]), (int(y[0]), y[1:])
+    to = min(len(x), len(y))
+    common = int(np.bitwise_count(folded(x, to) & folded(y, to)).sum())
+    most = common + min(n - int(np.bitwise_count(folded(x, to)).sum()), m - int(np.bitwise_count(folded(y, to)).sum()))
+    return (ABOVE + BELOW) * min(most, n, m) >= ABOVE * (n + m)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose sets are similar: first by their bitmaps, then by all their shingles."""
+    maps = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("__id").alias("__id"), F.first("bits").alias("s"))
+    maps = written(maps.join(ends(pairs), "sid", "left_semi"))
+    left = written(compared(pairs, maps.select("sid", "s"), may_link))
+    ids = written(maps.join(ends(left), "sid", "left_semi").select("__id").distinct())
     ids = F.broadcast(ids) if ids.count() <= SMALL else ids
 
     def make():
@@ -192,24 +232,16 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
 
         def step(x: dict) -> dict:
             sets = [of(t) for t in x["__t"]]
-            return {"sid": [set_id(s) for s in sets], "s": [s.tobytes() for s in sets]}
+            return {"sid": [set_id(s) if len(s) else None for s in sets], "s": [s.tobytes() for s in sets]}
 
         return step
 
-    sets = map_batches(docs.join(ids, "__id", "left_semi").select("__t"), make, "sid bigint, s binary")
-    sets = written(sets.dropDuplicates(["sid"]))
-    per = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("__n"))
-    dealt = written(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), "__n").alias("k")))
-    members = dealt.join(sets, F.col("b") == F.col("sid")).select("a", "k", "b", "s")
-    heads = dealt.select("a", "k").distinct().join(sets, F.col("a") == F.col("sid")).select("a", "k", F.lit(None).cast("bigint").alias("b"), "s")
+    sets = written(map_batches(docs.join(ids, "__id", "left_semi").select("__t"), make, "sid bigint, s binary"))
+    return compared(left, sets, links)
 
-    def compare(t: pa.Table) -> pa.Table:
-        b, s = t.column("b").to_pylist(), [np.frombuffer(x, dtype=np.uint64) for x in t.column("s").to_pylist()]
-        head = s[b.index(None)]
-        hit = [x for x, y in zip(b, s, strict=True) if x is not None and links(head, y)]
-        return pa.table({"a": pa.array([t.column("a")[0].as_py()] * len(hit), pa.int64()), "b": pa.array(hit, pa.int64())})
 
-    return members.unionByName(heads).groupBy("a", "k").applyInArrow(compare, "a bigint, b bigint")
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
 
 
 class Tree:
@@ -286,7 +318,7 @@ def crossing(found: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
 
     def traverse(t: pa.Table) -> pa.Table:
         sid, n, c, i = (t.column(k).to_numpy() for k in ("sid", "n", "c", "i"))
-        maps_ = [np.frombuffer(x, dtype=np.uint64) for x in t.column("bits").to_pylist()]
+        maps_ = [np.frombuffer(x, dtype=np.uint64)[1:] for x in t.column("bits").to_pylist()]
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
         trees = {}
         for k in {p, q}:
