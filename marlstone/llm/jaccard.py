@@ -219,11 +219,11 @@ def may_link(x: np.ndarray, y: np.ndarray) -> bool:
     return (ABOVE + BELOW) * min(most, n, m) >= ABOVE * (n + m)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose sets are similar: first by their bitmaps, then by all their shingles."""
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, pruned: bool = False) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose sets are similar: first by their bitmaps if not yet `pruned`, then by all their shingles."""
     maps = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("__id").alias("__id"), F.first("bits").alias("s"))
     maps = written(maps.join(ends(pairs), "sid", "left_semi"))
-    left = written(compared(pairs, maps.select("sid", "s"), may_link))
+    left = pairs if pruned else written(compared(pairs, maps.select("sid", "s"), may_link))
     ids = written(maps.join(ends(left), "sid", "left_semi").select("__id").distinct())
     ids = F.broadcast(ids) if ids.count() <= SMALL else ids
 
@@ -245,44 +245,47 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """Sets sorted by size and bitmap, halved down to leaves; a node is (from, to, OR bitmap, sizes, slack, component).
+    """Sets sorted by size, halved down to leaves; a node is (from, to, OR bitmap, least size, greatest size, slack, component, parts).
 
-    Slack: the most shingles of a set beyond its bits. An overlap is at most the common bits and the slack.
+    A node's bitmap is as wide as its narrowest set's. Slack: the most shingles of a set beyond its bits at that
+    width; an overlap is at most the common bits and the slack of the narrower side.
     """
 
     def __init__(self, sizes: np.ndarray, maps: list[np.ndarray], comps: np.ndarray):
-        width = min(map(len, maps))
         self.order = np.lexsort((comps, sizes))
         self.n, self.comp = sizes[self.order], comps[self.order]
-        self.bits = np.array([folded(maps[i], width) for i in self.order])
-        self.slack = self.n - np.bitwise_count(self.bits).sum(axis=1)
-        self.top = self.node(0, len(sizes)) if len(sizes) else None
+        self.maps = [maps[i] for i in self.order]
+        self.top = self.node(0, len(sizes))
 
     def node(self, a: int, z: int) -> tuple:
         comp = self.comp[a] if (self.comp[a:z] == self.comp[a]).all() else None
         parts = [] if z - a <= LEAF else [self.node(a, (a + z) // 2), self.node((a + z) // 2, z)]
-        return a, z, np.bitwise_or.reduce(self.bits[a:z], axis=0), int(self.n[a:z].min()), int(self.n[a:z].max()), int(self.slack[a:z].max()), comp, parts
+        width = min(map(len, self.maps[a:z]))
+        bits = np.array([folded(m[1:], width - 1) for m in self.maps[a:z]])
+        slack = int((self.n[a:z] - np.bitwise_count(bits).sum(axis=1)).max())
+        return a, z, np.bitwise_or.reduce(bits, axis=0), int(self.n[a:z].min()), int(self.n[a:z].max()), slack, comp, parts
 
 
-def apart(x: tuple, y: tuple, bits: Callable) -> bool:
+def apart(x: tuple, y: tuple) -> bool:
     """No set of node x can be similar to one of node y, or one component holds both."""
     if x[6] is not None and x[6] == y[6]:
         return True
     if BELOW * x[4] < ABOVE * y[3] or BELOW * y[4] < ABOVE * x[3]:
         return True
     least = -(-ABOVE * (x[3] + y[3]) // (ABOVE + BELOW))
-    return min(x[4], y[4], bits(x[2], y[2]) + min(x[5], y[5])) < least
+    if len(x[2]) > len(y[2]):
+        x, y = y, x
+    common = int(np.bitwise_count(x[2] & folded(y[2], len(x[2]))).sum())
+    return min(x[4], y[4], common + x[5]) < least
 
 
 def traversed(left: Tree, right: Tree) -> list[tuple[int, int]]:
     """Positions of pairs of sets that may be similar and lie in different components; each unordered pair once."""
     same, out = left is right, []
-    narrow = min(left.bits.shape[1], right.bits.shape[1])
-    bits = lambda p, q: int(np.bitwise_count(folded(p, narrow) & folded(q, narrow)).sum())
     todo = [(left.top, right.top)]
     while todo:
         x, y = todo.pop()
-        if apart(x, y, bits):
+        if apart(x, y):
             continue
         if x[7] or y[7]:
             if same and x is y:
@@ -295,10 +298,8 @@ def traversed(left: Tree, right: Tree) -> list[tuple[int, int]]:
             continue
         for i in range(x[0], x[1]):
             for j in range(max(y[0], i + 1) if same else y[0], y[1]):
-                if left.comp[i] != right.comp[j] and alike(left.n[i], right.n[j]):
-                    most = bits(left.bits[i], right.bits[j]) + min(left.slack[i], right.slack[j])
-                    if (ABOVE + BELOW) * min(most, left.n[i], right.n[j]) >= ABOVE * (left.n[i] + right.n[j]):
-                        out.append((i, j))
+                if left.comp[i] != right.comp[j] and alike(left.n[i], right.n[j]) and may_link(left.maps[i], right.maps[j]):
+                    out.append((i, j))
     return out
 
 
@@ -306,7 +307,9 @@ def crossing(found: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that the trees of roots with several components don't rule out."""
     labelled = found.select("g", "sid", "n").join(comps, F.col("sid") == F.col("v"), "left").select("g", "sid", "n", F.coalesce("c", "sid").alias("c"))
     labelled = written(labelled)
-    several = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("f")).filter("lo < hi")
+    several = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("f"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).filter("lo < hi")
+    # roots of different buckets that hold the same sets are one
+    several = several.groupBy("x", "y", "f").agg(F.min("g").alias("g"))
     several = written(several.select("g", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks")))
     members = labelled.join(several, "g")
     maps = rows.join(members.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "bits")
@@ -318,7 +321,7 @@ def crossing(found: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
 
     def traverse(t: pa.Table) -> pa.Table:
         sid, n, c, i = (t.column(k).to_numpy() for k in ("sid", "n", "c", "i"))
-        maps_ = [np.frombuffer(x, dtype=np.uint64)[1:] for x in t.column("bits").to_pylist()]
+        maps_ = [np.frombuffer(x, dtype=np.uint64) for x in t.column("bits").to_pylist()]
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
         trees = {}
         for k in {p, q}:
@@ -369,7 +372,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     comps = written(components(edges))
     again = written(crossing(found, rows, comps).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if again.take(1):
-        comps = written(components(edges.unionByName(verified(again, docs, rows))))
+        comps = written(components(edges.unionByName(verified(again, docs, rows, pruned=True))))
     whole = rows.join(comps, F.col("sid") == F.col("v"), "left").select("__id", "n", F.coalesce("c", "sid").alias("c"))
     least = whole.filter("c IS NOT NULL").groupBy("c").agg(F.min("__id").alias("m")).withColumnRenamed("c", "d")
     joined = whole.filter("c IS NOT NULL").join(least, F.col("c") == F.col("d")).select("__id", "n", "m")
