@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import map_batches, table, written
@@ -245,15 +245,16 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """Sets sorted by size, halved down to leaves; a node is (from, to, OR bitmap, least size, greatest size, slack, component, parts).
+    """Sets sorted by size, halved down to leaves; a node is (from, to, OR bitmap, least size, greatest size, slack, component, parts, earlier root).
 
     A node's bitmap is as wide as its narrowest set's. Slack: the most shingles of a set beyond its bits at that
     width; an overlap is at most the common bits and the slack of the narrower side.
     """
 
-    def __init__(self, sizes: np.ndarray, maps: list[np.ndarray], comps: np.ndarray):
+    def __init__(self, sizes: np.ndarray, maps: list[np.ndarray], comps: np.ndarray, before: list):
         self.order = np.lexsort((comps, sizes))
         self.n, self.comp = sizes[self.order], comps[self.order]
+        self.before = [before[i] for i in self.order]
         self.maps = [maps[i] for i in self.order]
         self.top = self.node(0, len(sizes))
 
@@ -263,12 +264,13 @@ class Tree:
         width = min(map(len, self.maps[a:z]))
         bits = np.array([folded(m[1:], width - 1) for m in self.maps[a:z]])
         slack = int((self.n[a:z] - np.bitwise_count(bits).sum(axis=1)).max())
-        return a, z, np.bitwise_or.reduce(bits, axis=0), int(self.n[a:z].min()), int(self.n[a:z].max()), slack, comp, parts
+        before = self.before[a] if len(set(self.before[a:z])) == 1 else None
+        return a, z, np.bitwise_or.reduce(bits, axis=0), int(self.n[a:z].min()), int(self.n[a:z].max()), slack, comp, parts, before
 
 
 def apart(x: tuple, y: tuple) -> bool:
-    """No set of node x can be similar to one of node y, or one component holds both."""
-    if x[6] is not None and x[6] == y[6]:
+    """No set of node x can be similar to one of node y, or one component or an earlier root holds both."""
+    if x[6] is not None and x[6] == y[6] or x[8] is not None and x[8] == y[8]:
         return True
     if BELOW * x[4] < ABOVE * y[3] or BELOW * y[4] < ABOVE * x[3]:
         return True
@@ -298,7 +300,8 @@ def traversed(left: Tree, right: Tree) -> list[tuple[int, int]]:
             continue
         for i in range(x[0], x[1]):
             for j in range(max(y[0], i + 1) if same else y[0], y[1]):
-                if left.comp[i] != right.comp[j] and alike(left.n[i], right.n[j]) and may_link(left.maps[i], right.maps[j]):
+                seen = left.before[i] is not None and left.before[i] == right.before[j]
+                if left.comp[i] != right.comp[j] and not seen and alike(left.n[i], right.n[j]) and may_link(left.maps[i], right.maps[j]):
                     out.append((i, j))
     return out
 
@@ -311,23 +314,28 @@ def crossing(found: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
     # roots of different buckets that hold the same sets are one
     several = several.groupBy("x", "y", "f").agg(F.min("g").alias("g"))
     several = written(several.select("g", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks")))
-    members = labelled.join(several, "g")
+    # Sets that share this root and the one before it meet there. So the first root that two sets share compares
+    # them, and a root whose sets all share the one before it has nothing to compare.
+    members = labelled.join(several, "g").withColumn("before", F.lag("g").over(Window.partitionBy("sid").orderBy("g")))
+    members = written(members)
+    fresh = members.groupBy("g").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("before").alias("k"), F.count("*").alias("f"))
+    members = members.join(fresh.filter("k < f OR lo < hi").select("g"), "g")
     maps = rows.join(members.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "bits")
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     # a root of more than BLOCK sets is traversed block against block, each pair of blocks in a task of its own
     spread = members.withColumn("i", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("g", "sid", "n", "c", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"))
+    spread = spread.select("g", "sid", "n", "c", "before", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"))
     full = spread.join(maps, "sid")
 
     def traverse(t: pa.Table) -> pa.Table:
         sid, n, c, i = (t.column(k).to_numpy() for k in ("sid", "n", "c", "i"))
         maps_ = [np.frombuffer(x, dtype=np.uint64) for x in t.column("bits").to_pylist()]
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        trees = {}
+        before, trees = t.column("before").to_pylist(), {}
         for k in {p, q}:
             at = np.flatnonzero(i == k)
             if len(at):
-                tree = Tree(n[at], [maps_[x] for x in at], c[at])
+                tree = Tree(n[at], [maps_[x] for x in at], c[at], [before[x] for x in at])
                 trees[k] = tree, sid[at][tree.order]
         hit: list[tuple[int, int]] = []
         if len(trees) == len({p, q}):
