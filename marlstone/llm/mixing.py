@@ -135,7 +135,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     start = F.greatest(F.col("__block") * block, F.col("__at"))
     end = F.least((F.col("__block") + 1) * block, F.col("__at") + F.col("size"))
     pieces = pieces.select("__i", "__block", "__uid", (start - F.col("__at")).alias("first"), (end - start).alias("length"), (start - F.col("__block") * block).alias("offset"))
-    places = slots.join(pieces, ["__i", "__block"]).select("shard", "slot", "offset", "__uid", "first", "length")
+    # the planner sees only the few rows that slots are made from, so it is told not to broadcast them
+    places = slots.hint("merge").join(pieces, ["__i", "__block"]).select("shard", "slot", "offset", "__uid", "first", "length")
     return placed.select(F.col("__key").alias(key), F.col("__source").alias(source), "size", "source_size", "target", "__uid"), places
 
 
