@@ -19,7 +19,7 @@ from marlstone.llm.ranks import buckets_for, running
 CAPACITY, END, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Lengths are grouped by this many tokens (rounded up) for pricing; rounds of weights; step of a round;
 #: below this many pieces best fit finishes; words that a task remembers.
-GRAIN, ROUNDS, STEP, TAIL, REMEMBERED = 4, 24, 0.5, 4000, 600_000
+GRAIN, ROUNDS, STEP, TAIL, REMEMBERED = 4, 24, 0.5, 4000, 250_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -56,21 +56,21 @@ class Ids:
         """Leading marks, letters (small where that is plain), trailing marks."""
         right = word.rstrip(self.MARKS)
         core = right.lstrip(self.MARKS)
-        if core.isalpha() and max(core) < "\u0130":
+        if core.isalpha() and (core.isascii() or len(core.encode("latin-1", "ignore")) == len(core)):
             return right[: len(right) - len(core)], core.lower(), word[len(right) :]
         return None
 
     def learn(self, words: set[str]) -> None:
         if len(self.seen) + len(words) > REMEMBERED:
             self.seen.clear()
-        if len(self.parts) + len(words) > REMEMBERED:
+        if len(self.parts) + len(words) > 2 * REMEMBERED:
             self.parts.clear()
         parts = self.parts
         cut = {w: self.split(w) for w in words}
         cores = list({x[1] for x in cut.values() if x} - parts.keys())
         for at in range(0, len(cores), 4096):
             some = cores[at : at + 4096]
-            ids = np.array(self.of.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.of.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) == len(some):
                 data = ids.tobytes()
