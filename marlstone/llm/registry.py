@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from marlstone.llm.jaccard import op10_ngram_jaccard_join
+from marlstone.llm.language import op6_language_id
+from marlstone.llm.licenses import op5_license_scans
+from marlstone.llm.licenses import sql as license_sql
 from marlstone.llm.mixing import op4_mix_sources
 from marlstone.llm.packing import op9_best_fit_packing
+from marlstone.llm.pages import op2_html_extraction
 from marlstone.llm.quality_classifier import op8_quality_classifier
 from marlstone.llm.quality_rules import op3_quality_rules
 from marlstone.llm.secrets import op1_secret_scans
@@ -19,7 +23,8 @@ def pipeline(spark, sf_dir):
 
 
 OPERATORS = (
-    op1_secret_scans, op3_quality_rules, op4_mix_sources, op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join,
+    op1_secret_scans, op2_html_extraction, op3_quality_rules, op4_mix_sources, op5_license_scans, op6_language_id,
+    op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join,
 )
 QUERIES = {**{f.__name__: f for f in OPERATORS}, "pipeline": pipeline}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_license_scans": license_sql()}
