@@ -23,7 +23,7 @@ def key_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def complete(df: DataFrame, item: str, by: str) -> DataFrame:
     """Items that occur with every value of `by`."""
     n = df.select(F.count_distinct(by).alias("__n"))
-    return df.groupBy(item).agg(F.count_distinct(by).alias("k")).crossJoin(F.broadcast(n)).filter("k = __n").select(item)
+    return df.groupBy(item).agg(F.count_distinct(by).alias("__k")).crossJoin(F.broadcast(n)).filter("__k = __n").select(item)
 
 
 def missing_cells(df: DataFrame, row: str, column: str) -> DataFrame:

@@ -56,7 +56,7 @@ def hamming(a: Column, b: Column) -> Column:
 
 def hamming_pairs(df: DataFrame, key: str, bits: str, most: int) -> DataFrame:
     """(a, b, distance) with a < b of 64-bit hashes at most `most` apart: of most + 1 chunks one must be equal, so an equi-join on chunks finds all."""
-    size = -(-64 // (most + 1))
+    size = max(1, 64 // (most + 1))
     chunks = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col(bits), i * size).bitwiseAND(F.lit((1 << size) - 1)).alias("c")) for i in range(-(-64 // size))]
     keyed = df.select(F.col(key).alias("k"), F.col(bits).alias("h"), F.explode(F.array(*chunks)).alias("x")).select("k", "h", "x.i", "x.c")
     left, right = (keyed.select(F.col("k").alias(f"{s}"), F.col("h").alias(f"h{s}"), "i", "c") for s in "ab")

@@ -1,4 +1,6 @@
-"""Queries over the driver's tables, each with the SQL that gives the same rows."""
+"""Every query over the driver's tables, and its SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from marlstone.plans import findings, relations, scalars, selecting  # noqa: F401
+from marlstone.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
