@@ -25,7 +25,9 @@ def intervals(means: DataFrame, keys: list[str], value: str = "mean") -> DataFra
     """Mean and 95 per cent interval by exact percentiles with linear interpolation."""
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
     out = means.groupBy(*keys).agg(F.avg(F.col(value).cast("decimal(20,8)")).cast("double").alias("center"), q.alias("__q"))
-    return out.select(*keys, F.round("center", 4).alias("center"), F.round(F.col("__q")[0], 4).alias("ci_low"), F.round(F.col("__q")[1], 4).alias("ci_high"))
+    # cut, not rounded, at four places: sums of few places often lie on the edge of rounding
+    cut = lambda c: F.floor(c * 10000 + 0.001) / 10000
+    return out.select(*keys, cut(F.col("center")).alias("center"), cut(F.col("__q")[0]).alias("ci_low"), cut(F.col("__q")[1]).alias("ci_high"))
 
 
 def ranked(means: DataFrame, by: list[str]) -> DataFrame:

@@ -127,7 +127,7 @@ def drawn(t: Tables) -> DataFrame:
     return S.bootstrap_means(draws, scores, ["iteration"])
 
 
-@query(f"WITH {MEANS} SELECT model, round(avg(mean), 4) AS center, round(quantile_cont(mean, 0.025), 4) AS ci_low, round(quantile_cont(mean, 0.975), 4) AS ci_high FROM means GROUP BY 1")
+@query(f"WITH {MEANS} SELECT model, floor(avg(mean) * 10000 + 0.001) / 10000 AS center, floor(quantile_cont(mean, 0.025) * 10000 + 0.001) / 10000 AS ci_low, floor(quantile_cont(mean, 0.975) * 10000 + 0.001) / 10000 AS ci_high FROM means GROUP BY 1")
 def bootstrap_ci(t: Tables) -> DataFrame:
     return S.intervals(drawn(t), ["model"])
 
