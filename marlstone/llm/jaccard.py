@@ -251,10 +251,11 @@ class Tree:
     width; an overlap is at most the common bits and the slack of the narrower side.
     """
 
-    def __init__(self, sizes: np.ndarray, maps: list[np.ndarray], comps: np.ndarray, before: list):
+    def __init__(self, sizes: np.ndarray, maps: list[np.ndarray], comps: np.ndarray, earlier: list[np.ndarray]):
         self.order = np.lexsort((comps, sizes))
         self.n, self.comp = sizes[self.order], comps[self.order]
-        self.before = [before[i] for i in self.order]
+        self.earlier = [frozenset(earlier[i].tolist()) for i in self.order]
+        self.before = [int(earlier[i].max()) if len(earlier[i]) else None for i in self.order]
         self.maps = [maps[i] for i in self.order]
         self.top = self.node(0, len(sizes))
 
@@ -300,8 +301,7 @@ def traversed(left: Tree, right: Tree) -> list[tuple[int, int]]:
             continue
         for i in range(x[0], x[1]):
             for j in range(max(y[0], i + 1) if same else y[0], y[1]):
-                seen = left.before[i] is not None and left.before[i] == right.before[j]
-                if left.comp[i] != right.comp[j] and not seen and alike(left.n[i], right.n[j]) and may_link(left.maps[i], right.maps[j]):
+                if left.comp[i] != right.comp[j] and alike(left.n[i], right.n[j]) and left.earlier[i].isdisjoint(right.earlier[j]) and may_link(left.maps[i], right.maps[j]):
                     out.append((i, j))
     return out
 
@@ -316,26 +316,33 @@ def crossing(found: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
     several = written(several.select("g", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks")))
     # Sets that share this root and the one before it meet there. So the first root that two sets share compares
     # them, and a root whose sets all share the one before it has nothing to compare.
-    members = labelled.join(several, "g").withColumn("before", F.lag("g").over(Window.partitionBy("sid").orderBy("g")))
-    members = written(members)
+    by_size = Window.partitionBy("g").orderBy("n")
+    near = lambda m: BELOW * F.least("n", m) >= ABOVE * F.greatest("n", m)
+    # A set whose neighbours by size are too far off has no partner under this root.
+    members = labelled.join(several, "g").withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    members = members.filter(near(F.col("less")) | near(F.col("more"))).drop("less", "more")
+    members = written(members.withColumn("before", F.lag("g").over(Window.partitionBy("sid").orderBy("g"))))
     fresh = members.groupBy("g").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("before").alias("k"), F.count("*").alias("f"))
-    members = members.join(fresh.filter("k < f OR lo < hi").select("g"), "g")
-    maps = rows.join(members.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "bits")
+    # a set's roots are no more than its prefix's shingles
+    held = members.groupBy("sid").agg(F.collect_list("g").alias("roots"))
+    members = members.drop("before").join(fresh.filter("f > 1 AND (k < f OR lo < hi)").select("g"), "g")
+    maps = rows.join(members.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "bits").join(held, "sid")
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     # a root of more than BLOCK sets is traversed block against block, each pair of blocks in a task of its own
     spread = members.withColumn("i", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("g", "sid", "n", "c", "before", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"))
+    spread = spread.select("g", "sid", "n", "c", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"))
     full = spread.join(maps, "sid")
 
     def traverse(t: pa.Table) -> pa.Table:
         sid, n, c, i = (t.column(k).to_numpy() for k in ("sid", "n", "c", "i"))
         maps_ = [np.frombuffer(x, dtype=np.uint64) for x in t.column("bits").to_pylist()]
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        before, trees = t.column("before").to_pylist(), {}
+        g, trees = t.column("g")[0].as_py(), {}
+        earlier = [x[x < g] for x in (np.array(r, dtype=np.int64) for r in t.column("roots").to_pylist())]
         for k in {p, q}:
             at = np.flatnonzero(i == k)
             if len(at):
-                tree = Tree(n[at], [maps_[x] for x in at], c[at], [before[x] for x in at])
+                tree = Tree(n[at], [maps_[x] for x in at], c[at], [earlier[x] for x in at])
                 trees[k] = tree, sid[at][tree.order]
         hit: list[tuple[int, int]] = []
         if len(trees) == len({p, q}):
