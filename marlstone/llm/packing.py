@@ -19,7 +19,7 @@ from marlstone.llm.ranks import buckets_for, running
 CAPACITY, END, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Lengths are grouped by this many tokens (rounded up) for pricing; rounds of weights; step of a round;
 #: below this many pieces best fit finishes; words that a task remembers.
-GRAIN, ROUNDS, STEP, TAIL, REMEMBERED = 4, 24, 0.5, 4000, 250_000
+GRAIN, ROUNDS, STEP, TAIL, REMEMBERED = 4, 24, 0.5, 20_000, 250_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -177,7 +177,7 @@ def filled(last: np.ndarray, room: int) -> Counter:
 def fractional(counts: np.ndarray, units: int) -> dict[tuple, float]:
     """The covering program min sum x_p, sum x_p a_pc >= n_c, by multiplicative weights with knapsack pricing.
 
-    Weights fall with a class's coverage. Each round prices once; every class still short then gets the best
+    A piece is worth a little more than its size, the more the less its class is covered. Each round prices once; every class still short then gets the best
     configuration that holds it, in a share of what it lacks.
     """
     n = counts.astype(float)
@@ -185,7 +185,7 @@ def fractional(counts: np.ndarray, units: int) -> dict[tuple, float]:
     short, x = n.copy(), Counter()
     for r in range(ROUNDS):
         weights = np.zeros(units + 1)
-        weights[have] = np.where(short[have] > 1e-9, have * np.exp(0.5 * short[have] / n[have]), 0)
+        weights[have] = np.where(short[have] > 1e-9, (have / units) ** 1.15 * np.exp(0.5 * short[have] / n[have]), 0)
         _, last = priced(weights, units)
         share = 1.0 if r == ROUNDS - 1 else STEP
         for c in have[::-1]:

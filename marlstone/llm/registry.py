@@ -6,6 +6,7 @@ from marlstone.llm.jaccard import op10_ngram_jaccard_join
 from marlstone.llm.language import op6_language_id
 from marlstone.llm.licenses import op5_license_scans
 from marlstone.llm.licenses import sql as license_sql
+from marlstone.llm.media import op7_media_copies
 from marlstone.llm.mixing import op4_mix_sources
 from marlstone.llm.packing import op9_best_fit_packing
 from marlstone.llm.pages import op2_html_extraction
@@ -23,7 +24,7 @@ def pipeline(spark, sf_dir):
 
 
 OPERATORS = (
-    op1_secret_scans, op2_html_extraction, op3_quality_rules, op4_mix_sources, op5_license_scans, op6_language_id,
+    op1_secret_scans, op2_html_extraction, op3_quality_rules, op4_mix_sources, op5_license_scans, op6_language_id, op7_media_copies,
     op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join,
 )
 QUERIES = {**{f.__name__: f for f in OPERATORS}, "pipeline": pipeline}
