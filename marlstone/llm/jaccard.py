@@ -23,7 +23,7 @@ from marlstone.llm.components import components
 #: Words in a shingle; similarity as a fraction; sets in a leaf; sets of a root compared in one task; members beside
 #: their representative in one task; documents that tell which shingles are common, and in how many of them; ids
 #: that are broadcast at most; bytes of input for a bucket of prefixes.
-WORDS, ABOVE, BELOW, LEAF, BLOCK, CHUNK, SAMPLE, COMMON, SMALL, BUCKET = 5, 3, 4, 8, 8192, 64, 4000, 4, 1_000_000, 16 << 20
+WORDS, ABOVE, BELOW, LEAF, BLOCK, CHUNK, SAMPLE, COMMON, SMALL, BUCKET = 5, 3, 4, 8, 8192, 64, 16_000, 3, 1_000_000, 16 << 20
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
