@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system, as Spark keeps its Python workers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | StructType) -> DataFrame:
     """`make()` runs once a task and returns a function from a batch's columns (lists) to the result's columns.
 
@@ -37,5 +46,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
                 columns = {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
                 out = step(columns)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        del step
+        give_back()
 
     return df.mapInArrow(run, kind)

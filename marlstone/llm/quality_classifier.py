@@ -15,7 +15,7 @@ from marlstone.llm.common import map_batches, table
 
 #: Hash buckets, width of a vector, character n-gram lengths; epochs, rate; labelled rows learned from at most;
 #: words that a task remembers; score from which a document counts as good.
-BUCKETS, WIDTH, GRAMS, EPOCHS, RATE, SAMPLE, REMEMBERED, GOOD = 1 << 16, 16, (3, 4), 6, 0.5, 3000, 500_000, 0.3
+BUCKETS, WIDTH, GRAMS, EPOCHS, RATE, SAMPLE, REMEMBERED, GOOD = 1 << 16, 16, (3, 4), 6, 0.5, 3000, 200_000, 0.3
 LEAST_STEPS = 4000
 #: The feature of a word that repeats the one before it.
 AGAIN = 0
