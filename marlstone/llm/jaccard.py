@@ -21,9 +21,9 @@ from marlstone.llm.common import map_batches, table, written
 from marlstone.llm.components import components
 
 #: Words in a shingle; similarity as a fraction; sets in a leaf; sets of a root compared in one task; members beside
-#: their representative in one task; documents that tell which shingles are common, and in how many of them; ids
-#: that are broadcast at most; bytes of input for a bucket of prefixes.
-WORDS, ABOVE, BELOW, LEAF, BLOCK, CHUNK, SAMPLE, COMMON, SMALL, BUCKET = 5, 3, 4, 8, 8192, 64, 16_000, 3, 1_000_000, 16 << 20
+#: their representative in one task; 64-bit numbers that mark common shingles; ids that are broadcast at most; bytes
+#: of input for a bucket of prefixes.
+WORDS, ABOVE, BELOW, LEAF, BLOCK, CHUNK, WORDS_OF, SMALL, BUCKET = 5, 3, 4, 8, 8192, 64, 1 << 21, 1_000_000, 16 << 20
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -105,29 +105,28 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return BELOW * both >= ABOVE * (len(a) + len(b) - both)
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles of COMMON or more of SAMPLE documents chosen by hash. They only order prefixes; any order is exact."""
-    some = docs.select("__id").orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE).distinct()
+def common_shingles(found: DataFrame) -> np.ndarray:
+    """A bit for each shingle that is a root, by its hash, in WORDS_OF 64-bit numbers however many roots there are.
 
-    def make():
-        of = Shingles()
-        return lambda x: {"s": [of(t).view(np.int64).tolist() for t in x["__t"]]}
-
-    found = map_batches(docs.join(F.broadcast(some), "__id").select("__t"), make, "s array<bigint>")
-    rows = found.select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") >= COMMON).select("s").collect()
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+    It only orders prefixes. Any order is exact, so a bit that two shingles share does no harm.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftrightunsigned", F.col("g"), F.lit(21)).bitwiseAND(F.lit(63)).cast("int"))
+    words = found.groupBy(F.col("g").bitwiseAND(F.lit(WORDS_OF - 1)).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    out = np.zeros(WORDS_OF, dtype=np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return out
 
 
-def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+def prefix(s: np.ndarray, common: np.ndarray | None) -> np.ndarray:
+    """The first quarter of a set and one more, in an order that puts common shingles last."""
     n = len(s) - -(-ABOVE * len(s) // BELOW) + 1
-    if len(common):
-        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        often = common[at] == s
+    if common is not None:
+        often = (common[s & np.uint64(WORDS_OF - 1)] >> ((s >> np.uint64(21)) & np.uint64(63))) & np.uint64(1) == 1
         s = np.concatenate([s[~often], s[often]])
     return s[:n]
 
 
-def postings(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, common: np.ndarray | None, buckets: int) -> DataFrame:
     """Prefixes of all sets, packed by bucket of the shingle's top bits: (bucket, shingles, counts, sids, sizes)."""
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
@@ -379,8 +378,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         return step
 
     rows = written(map_batches(docs, make, f"__id {kind}, sid bigint, n bigint, bits binary"))
-    packed = postings(docs, common_shingles(docs), buckets_of(docs))
-    found = written(roots(packed))
+    # shingles that prefixes share in plain order are common; with these last, few prefixes but those of copies meet
+    buckets = buckets_of(docs)
+    common = common_shingles(roots(postings(docs, None, buckets)))
+    found = written(roots(postings(docs, common, buckets)))
     near = lambda a, b: BELOW * F.least(a, b) >= ABOVE * F.greatest(a, b)
     first = written(found.filter((F.col("sid") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
     edges = written(verified(first, docs, rows))
