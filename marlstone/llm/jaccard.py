@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ from marlstone.llm.components import components
 
 #: Words in a shingle; similarity as a fraction; sets in a leaf; sets of a root compared in one task; members beside
 #: their representative in one task; 64-bit numbers that mark common shingles; ids that are broadcast at most; bytes
-#: of input for a bucket of prefixes.
-WORDS, ABOVE, BELOW, LEAF, BLOCK, CHUNK, WORDS_OF, SMALL, BUCKET = 5, 3, 4, 8, 8192, 64, 1 << 21, 1_000_000, 16 << 20
+#: of input for a bucket of prefixes; sets under small roots in one task.
+WORDS, ABOVE, BELOW, LEAF, BLOCK, CHUNK, WORDS_OF, SMALL, BUCKET, TOGETHER = 5, 3, 4, 8, 8192, 64, 1 << 21, 1_000_000, 16 << 20, 50_000
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -325,31 +326,42 @@ def crossing(found: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
     # a set's roots are no more than its prefix's shingles
     held = members.groupBy("sid").agg(F.collect_list("g").alias("roots"))
     members = members.drop("before").join(fresh.filter("f > 1 AND (k < f OR lo < hi)").select("g"), "g")
+    members = written(members)
     maps = rows.join(members.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "bits").join(held, "sid")
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    # a root of more than BLOCK sets is traversed block against block, each pair of blocks in a task of its own
-    spread = members.withColumn("i", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("g", "sid", "n", "c", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"))
-    full = spread.join(maps, "sid")
+    # A root of more than BLOCK sets is traversed block against block, each pair of blocks in a task of its own; other
+    # roots share a task by the dozen, so that a set's bitmap and roots are sent once a task and not once a root.
+    groups = 1 << max(4, (members.count() // TOGETHER).bit_length())
+    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("g"), F.lit(groups))).otherwise(F.col("g"))
+    spread = members.withColumns({"i": block, "k": key}).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = written(spread.select("k", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"), "g", "sid", "n", "c", "i"))
+    sent = spread.select("k", "p", "q", "sid").distinct().join(maps, "sid")
+    full = spread.select("*", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("array<bigint>").alias("roots")).unionByName(sent, allowMissingColumns=True)
 
     def traverse(t: pa.Table) -> pa.Table:
-        sid, n, c, i = (t.column(k).to_numpy() for k in ("sid", "n", "c", "i"))
-        maps_ = [np.frombuffer(x, dtype=np.uint64) for x in t.column("bits").to_pylist()]
+        held = t.filter(pa.compute.is_valid(t.column("bits")))
+        of = {x: (np.frombuffer(y, dtype=np.uint64), np.array(r, dtype=np.int64)) for x, y, r in zip(*[held.column(k).to_pylist() for k in ("sid", "bits", "roots")], strict=True)}
+        rows_ = t.filter(pa.compute.is_null(t.column("bits"))).sort_by("g")
+        g, sid, n, c, i = (rows_.column(k).to_numpy() for k in ("g", "sid", "n", "c", "i"))
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        g, trees = t.column("g")[0].as_py(), {}
-        earlier = [x[x < g] for x in (np.array(r, dtype=np.int64) for r in t.column("roots").to_pylist())]
-        for k in {p, q}:
-            at = np.flatnonzero(i == k)
-            if len(at):
-                tree = Tree(n[at], [maps_[x] for x in at], c[at], [earlier[x] for x in at])
-                trees[k] = tree, sid[at][tree.order]
-        hit: list[tuple[int, int]] = []
-        if len(trees) == len({p, q}):
-            (x, xs), (y, ys) = trees[p], trees[q]
-            hit = [(min(u, v), max(u, v)) for k, m in traversed(x, y) for u, v in [(int(xs[k]), int(ys[m]))]]
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, dtype=np.int64)
+        hit: set[tuple[int, int]] = set()
+        for a, z in zip(start, [*start[1:], len(g)], strict=True):
+            trees = {}
+            for k in {p, q}:
+                at = a + np.flatnonzero(i[a:z] == k)
+                if len(at):
+                    own = [of[x] for x in sid[at].tolist()]
+                    tree = Tree(n[at], [m for m, _ in own], c[at], [r[r < g[a]] for _, r in own])
+                    trees[k] = tree, sid[at][tree.order]
+            if len(trees) == len({p, q}):
+                (x, xs), (y, ys) = trees[p], trees[q]
+                for j, m in traversed(x, y):
+                    u, v = int(xs[j]), int(ys[m])
+                    hit.add((min(u, v), max(u, v)))
         return pa.table({"a": pa.array([h[0] for h in hit], pa.int64()), "b": pa.array([h[1] for h in hit], pa.int64())})
 
-    return full.groupBy("g", "p", "q").applyInArrow(traverse, "a bigint, b bigint").distinct()
+    return full.groupBy("k", "p", "q").applyInArrow(traverse, "a bigint, b bigint").distinct()
 
 
 def buckets_of(docs: DataFrame) -> int:
