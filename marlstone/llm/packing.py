@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import unicodedata
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -18,8 +20,8 @@ from marlstone.llm.ranks import buckets_for, running
 #: Tokens in a sequence, the id that ends a document, and the tokenizer's file.
 CAPACITY, END, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Lengths are grouped by this many tokens (rounded up) for pricing; rounds of weights; step of a round;
-#: below this many pieces best fit finishes; words that a task remembers.
-GRAIN, ROUNDS, STEP, TAIL, REMEMBERED = 4, 24, 0.5, 20_000, 250_000
+#: below this many pieces best fit finishes; parts of words in a generation that a worker remembers.
+GRAIN, ROUNDS, STEP, TAIL, REMEMBERED = 4, 24, 0.5, 20_000, 150_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -28,23 +30,30 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Letters of the Latin blocks that are composed already and have one small letter each.
+LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1 and unicodedata.is_normalized("NFC", c))
+SMALL = "a-z" + "".join(sorted({c.lower() for c in LATIN}))
+#: Texts of these characters alone are split here, as the tokenizer splits them once they are in small letters.
+PLAIN = re.compile(f"[\\t\\n\\r\\x20-\\x7e{LATIN}]*")
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{SMALL}]+|[0-9]|[^\\t\\n\\r\\x20{SMALL}0-9]+")
+
+
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit numbers, equal to the tokenizer's own.
 
-    The tokenizer never joins characters across white space, nor letters with other marks, so a text's ids are
-    those of its words, and a word's those of its letters and of the marks around them; what was met before needs
-    no second run. Words of any other make, and texts with separators that Python and the tokenizer may see
-    differently, go to the tokenizer whole.
+    The tokenizer cuts a text into parts (letters, one digit, other marks) and merges inside a part alone, so a
+    text's ids are those of its parts; a part met before needs no second run. Two generations of parts are
+    remembered. Texts with other characters, or with what may be a special token, go to the tokenizer whole.
     """
 
-    #: Marks that may stand around letters, the apostrophe not among them; separators only some call white space.
-    MARKS, ODD = ".,!?;:#$%&*|\"()-", "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.of, self.seen, self.parts = Tokenizer.from_file(path), {}, {}
+        self.of, self.parts, self.before = Tokenizer.from_file(path), {}, {}
+        # the same merges for parts between spaces, which are in small letters and need no further cutting
+        self.merge = Tokenizer(self.of.model)
+        self.merge.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.of.get_vocab_size(), dtype=bool)
         for token, i in self.of.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -52,63 +61,40 @@ class Ids:
     def raw(self, text: str) -> bytes:
         return np.array(self.of.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def split(self, word: str) -> tuple[str, str, str] | None:
-        """Leading marks, letters (small where that is plain), trailing marks."""
-        right = word.rstrip(self.MARKS)
-        core = right.lstrip(self.MARKS)
-        if core.isalpha() and (core.isascii() or len(core.encode("latin-1", "ignore")) == len(core)):
-            return right[: len(right) - len(core)], core.lower(), word[len(right) :]
-        return None
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.seen) + len(words) > REMEMBERED:
-            self.seen.clear()
-        if len(self.parts) + len(words) > 2 * REMEMBERED:
-            self.parts.clear()
-        parts = self.parts
-        cut = {w: self.split(w) for w in words}
-        cores = list({x[1] for x in cut.values() if x} - parts.keys())
-        for at in range(0, len(cores), 4096):
-            some = cores[at : at + 4096]
-            ids = np.array(self.of.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def learn(self, met: set[str]) -> None:
+        new = met - self.parts.keys()
+        if len(self.parts) + len(new) > REMEMBERED:
+            self.before, self.parts, new = self.parts, {}, met
+        parts, before = self.parts, self.before
+        known = new & before.keys()
+        parts.update(zip(known, map(before.__getitem__, known), strict=True))
+        new = list(new - known)
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            ids = np.array(self.merge.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) == len(some):
                 data = ids.tobytes()
                 parts.update(zip(some, map(data.__getitem__, map(slice, [0, *stops[:-1].tolist()], stops.tolist())), strict=True))
             else:
                 parts.update((c, self.raw(c)) for c in some)
-        for w, x in cut.items():
-            if x:
-                for m in (x[0], x[2]):
-                    if m and m not in parts:
-                        parts[m] = self.raw(m)
-                self.seen[w] = (parts[x[0]] if x[0] else b"") + parts[x[1]] + (parts[x[2]] if x[2] else b"")
-            else:
-                self.seen[w] = self.raw(w)
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        plain = [None if not t or not t.isprintable() and any(c in t for c in self.ODD) else t.split() for t in texts]
-        out, at = [b""] * len(texts), 0
-        while at < len(texts):  # so many texts at once that their words fit beside what is remembered
-            to, n = at, 0
-            while to < len(texts) and (to == at or n < REMEMBERED // 2):
-                n += len(plain[to] or ())
-                to += 1
-            new: set[str] = set()
-            for words in plain[at:to]:
-                if words:
-                    new.update(words)
-            self.learn(new) if len(new := new - self.seen.keys()) + len(self.seen) <= REMEMBERED else self.learn(self.again(plain[at:to]))
-            get = self.seen.__getitem__
-            for i in range(at, to):
-                out[i] = b"".join(map(get, plain[i])) if plain[i] is not None else self.raw(texts[i]) if texts[i] else b""
-            at = to
+        out, some, n = [b""] * len(texts), {}, 0
+        for i, text in enumerate(texts):
+            if text and PLAIN.fullmatch(text) and "<|" not in text:
+                some[i] = PARTS.findall(text.lower())
+                n += len(some[i])
+            elif text:
+                out[i] = self.raw(text)
+            if n and (n > REMEMBERED // 2 or i + 1 == len(texts)):  # so many texts at once that their parts fit
+                self.learn(set().union(*some.values()))
+                get = self.parts.__getitem__
+                for k, cut in some.items():
+                    out[k] = b"".join(map(get, cut))
+                some, n = {}, 0
         return out
 
-    def again(self, lists: list) -> set[str]:
-        self.seen.clear()
-        return {w for words in lists if words for w in words}
-
     def __call__(self, text: str | None) -> bytes:
         return self.batch([text])[0]
 
