@@ -140,6 +140,14 @@ def test_packing_round_trip(spark):
         assert end <= packing.CAPACITY
 
 
+def test_ids_equal_the_tokenizer_across_generations(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 12)
+    ids, rng = packing.Ids(packing.tokenizer_path()), random.Random(4)
+    marks = "aaeiStT'''  <|>_-19.\n\t\x1ć中éÀÿıſß"
+    texts = ["".join(rng.choices(marks, k=rng.randrange(30))) for _ in range(2000)] + ["it's I'LL '", "a <|endoftext|> b", None, ""]
+    assert ids.batch(texts) == [ids.raw(t) if t else b"" for t in texts]
+
+
 def test_ids_equal_the_tokenizer():
     ids = packing.Ids(packing.tokenizer_path())
     for text in ("I'll don't 'S", "ΟΔΟΣ İstanbul ﬁ", "a\x1cb\x85c", "á éclair ´x", "<|endoftext|>x", "##Word!!! (x) 12a3", "　中文 字​", "Straße ÉCOLE ñÑ", " \n"):
