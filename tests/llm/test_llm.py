@@ -227,6 +227,34 @@ def test_image_copies(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
 
 
+def test_image_candidates_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    make = lambda: np.kron(rng.integers(0, 256, (12, 12)), np.ones((8, 8)))
+    images: list[np.ndarray] = []
+    for i in range(60):
+        a = make()
+        images.append(a)
+        if i % 2:
+            images += [a[3:93, 5:96], np.clip(a * 0.7 + 30, 0, 255), np.clip(a + rng.normal(0, 2, a.shape), 0, 255)]
+    order = rng.permutation(len(images))
+    data = {int(k): pgm(images[i]) for k, i in enumerate(order)}
+    corners = {k: media.described(media.decoded(v)) for k, v in data.items()}
+    linked = {(a, b) for a in data for b in data if a < b and (media.alike(corners[a], corners[b]))}
+    parent = {k: k for k in data}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = {r.image_id: r.component_id for r in media.image_copies(spark.createDataFrame(list(data.items()), "image_id long, image binary")).collect()}
+    assert len(linked) > 100 and all(find(k) == find(c) for k, c in got.items())
+    assert np.mean([got[a] == got[b] for a, b in linked]) >= 0.9
+
+
 def test_empty_tables(spark):
     none = odd(spark, [])
     assert secrets.find_secrets(none).count() == quality_rules.judge(none).count() == licenses.find_licenses(none).count() == 0
