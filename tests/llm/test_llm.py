@@ -239,7 +239,8 @@ def test_image_candidates_against_all_pairs(spark):
     order = rng.permutation(len(images))
     data = {int(k): pgm(images[i]) for k, i in enumerate(order)}
     corners = {k: media.described(media.decoded(v)) for k, v in data.items()}
-    linked = {(a, b) for a in data for b in data if a < b and (media.alike(corners[a], corners[b]))}
+    corners = {k: (np.array([r[:4] for r in c]), np.array([np.frombuffer(r[4], np.uint64) for r in c])) for k, c in corners.items()}
+    linked = {(a, b) for a in data for b in data if a < b and media.alike(*corners[a], *corners[b])}
     parent = {k: k for k in data}
 
     def find(x):
