@@ -32,13 +32,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", False, 0, 16),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+#: A heading and its key: base64, white space (escaped too), header fields and single dashes. Every prefix of a line of
+#: dashes and capitals matches, so that a match goes on to the END line; without one it ends with such characters. A
+#: heading inside a key that has no END line belongs to the match.
+HEADING = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+PRIVATE_KEY = rf"({HEADING}(-{{0,4}}[A-Za-z0-9+/=:,\\\x09-\x0D\x20])*)+(-(-(-(-(-[A-Z ]*(-(-(-(-(-)?)?)?)?)?)?)?)?)?)?"
 #: Public formats of issued credentials.
 MORE = (
     Rule("forge", r"gh[opsur]_[A-Za-z0-9]+", False, 0, 40),
     Rule("cloud", r"AIza[0-9A-Za-z_-]+", False, 0, 39),
     Rule("chat", r"xox[abprs]-[0-9A-Za-z-]+", False, 0, 15),
     Rule("payment", r"[rs]k_live_[0-9A-Za-z]+", False, 0, 24),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 0, 40),
 )
 RULES = BASE + MORE

@@ -39,6 +39,36 @@ def test_masks_keep_the_rest(spark):
     assert got[7] == "é à [assign]' ñ" and got[4] == LONG and got[1] is None
 
 
+def test_masks_cover_whole_private_keys(spark):
+    rng = random.Random(9)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    body = lambda feed: feed.join("".join(rng.choices(chars, k=64)) for _ in range(12)) + "=="
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    heads = [("RSA ", ""), ("", ""), ("EC ", fields), ("OPENSSH ", "")]
+    for feed in ("\n", "\r\n", " ", "\\n", "\n    "):
+        for name, header in heads:
+            head, tail, key = f"-----BEGIN {name}PRIVATE KEY-----", f"-----END {name}PRIVATE KEY-----", header + body(feed)
+            whole = f"{head}{feed}{key}{feed}{tail}"
+            texts = {
+                f"é before. {whole} After it, all stays.": "é before. [private_key] After it, all stays.",
+                f"{whole}\nand\n{whole}": "[private_key]\nand\n[private_key]",
+                f"x; {head}{feed}{key}": "x; [private_key]",
+                f"x; {head}{feed}{key}{feed}! rest": "x; [private_key]! rest",
+                f"x; {head}{feed}{key}{feed}{whole} y": "x; [private_key] y",
+            }
+            rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+            scan = secrets.scanner_for(secrets.RULES)
+            own = len(secrets.RULES) - 2
+            assert secrets.RULES[own].kind == "private_key"
+            for text, want in texts.items():
+                out, at = "", 0
+                for s, _, e in (x for x in scan.spans(text) if x[1] == own):
+                    out, at = out + text[at:s] + "[private_key]", e
+                assert out + text[at:] == want
+    got = {r.doc_id: r.text for r in secrets.mask_secrets(odd(spark, rows)).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def test_pages():
     page = "<html><head><title>t</title></head><body><nav class=x><a>menu</a></nav><article><h1>A &amp; B</h1><p>one\n two<br>three<script>var x='</p>'</script><p><b>four<div class='comments'>no</div><aside>no</aside><p>five &#233;</article><div id=cookie-notice>no</div><footer>no</footer>"
     assert pages.main_text(page) == "A & B\n\none two three\n\nfour\n\nfive é"
