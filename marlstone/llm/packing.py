@@ -19,9 +19,9 @@ from marlstone.llm.ranks import buckets_for, running
 
 #: Tokens in a sequence, the id that ends a document, and the tokenizer's file.
 CAPACITY, END, TOKENIZER = 4096, 1, "word_bpe_49k.json"
-#: Lengths are grouped by this many tokens (rounded up) for pricing; rounds of weights; step of a round;
-#: below this many pieces best fit finishes; parts of words in a generation that a worker remembers.
-GRAIN, ROUNDS, STEP, TAIL, REMEMBERED = 4, 24, 0.5, 20_000, 150_000
+#: Rounds of weights; step of a round; below this many pieces best fit finishes; parts of words in a generation that a
+#: worker remembers.
+ROUNDS, STEP, TAIL, REMEMBERED = 24, 0.5, 20_000, 150_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -136,17 +136,16 @@ def priced(values: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
 
     values[c]: what a piece of class c (of c units) is worth; 0: none is left.
     """
-    have = np.flatnonzero(values)
-    worth, best, last = values[have], np.zeros(room + 1), np.zeros(room + 1, dtype=np.int64)
+    worth, last = np.where(values > 0, values, -np.inf), np.zeros(room + 1, dtype=np.int64)
+    rest = np.zeros(room + 1)  # the best values from the largest capacity down, so that a capacity's candidates lie side by side
     for c in range(1, room + 1):
-        n = np.searchsorted(have, c, side="right")
-        best[c] = best[c - 1]
-        if n:
-            got = best[c - have[:n]] + worth[:n]
-            i = int(np.argmax(got))
-            if got[i] > best[c]:
-                best[c], last[c] = got[i], have[i]
-    return best, last
+        at = room - c
+        rest[at] = rest[at + 1]
+        got = rest[at + 1 :] + worth[1 : c + 1]
+        i = int(got.argmax())
+        if got[i] > rest[at]:
+            rest[at], last[c] = got[i], i + 1
+    return rest[::-1], last
 
 
 def filled(last: np.ndarray, room: int) -> Counter:
@@ -188,15 +187,14 @@ def fractional(counts: np.ndarray, units: int) -> dict[tuple, float]:
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> list[tuple[int, int, int, int, int, int, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int, int]]:
     """(length, low, high, first sequence, sequences, copy0 offset, copies): where pieces number low to high of a length go.
 
-    The program's solution is rounded down to whole sequences, again and again over what is left; best fit places
+    Every length is a class of its own, so no room is lost to coarser ones. The program's solution is rounded down to whole sequences, again and again over what is left; best fit places
     the last few. Its size follows the lengths that occur, not the number of pieces.
     """
     left = {k: v for k, v in sorted(histogram.items(), reverse=True) if v > 0}
     used, out, sequence = Counter(), [], 0
-    units = capacity // grain
 
     def place(items: list[tuple[int, int]], times: int) -> None:
         nonlocal sequence
@@ -214,36 +212,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN
     if left.get(capacity):
         place([(capacity, 1)], left[capacity])
     while sum(left.values()) > TAIL:
-        groups: dict[int, list[int]] = {}
-        counts = np.zeros(units + 1, dtype=np.int64)
+        counts = np.zeros(capacity + 1, dtype=np.int64)
         for length, k in left.items():
-            groups.setdefault(-(-length // grain), []).append(length)
-            counts[-(-length // grain)] += k
+            counts[length] = k
         before = sequence
-        for pattern, amount in sorted(fractional(counts, units).items(), key=lambda p: -p[1]):
-            times = int(amount)
-            while times > 0:
-                # real lengths of each class, as many whole repeats as the first of them has
-                items, run = Counter(), times
-                for c, a in pattern:
-                    length = next((y for y in groups[c] if left.get(y, 0) - items[y] >= a), None)
-                    if length is None:
-                        run = 0
-                        for y in groups[c]:
-                            take = min(a, left.get(y, 0) - items[y])
-                            items[y] += max(0, take)
-                            a -= max(0, take)
-                    else:
-                        items[length] += a
-                items = {y: a for y, a in items.items() if a > 0}
-                if not items:
-                    break
-                full = run > 0
-                run = max(1, min([times, *[left[y] // a for y, a in items.items()]])) if full else 1
-                if not full:
-                    break
-                place(sorted(items.items(), reverse=True), run)
-                times -= run
+        for pattern, amount in sorted(fractional(counts, capacity).items(), key=lambda p: -p[1]):
+            times = min(int(amount), *[left.get(length, 0) // a for length, a in pattern])
+            if times > 0:
+                place(list(pattern), times)
         if sequence == before:
             break
     # best fit for the rest, longest first

@@ -200,6 +200,15 @@ def test_plan_places_everything_tightly(lengths):
     assert len(fill) <= 1.01 * least + 1
 
 
+@pytest.mark.parametrize("lengths", [[1] * 25_000, [5] * 25_000, [273] * 25_000, [1] * 15_000 + [5] * 15_000, list(np.random.default_rng(3).integers(1, 41, 30_000))])
+def test_plan_wastes_no_room_above_the_tail(lengths):
+    assert len(lengths) > packing.TAIL
+    test_plan_places_everything_tightly(lengths)
+    rows = packing.plan({int(k): lengths.count(k) for k in set(lengths)})
+    least = -(-len(lengths) // (packing.CAPACITY // lengths[0])) if len(set(lengths)) == 1 else -(-sum(map(int, lengths)) // packing.CAPACITY)
+    assert max(r[3] + r[4] for r in rows) <= least + 1
+
+
 def family(seed: int) -> dict[int, str | None]:
     """Copies, near copies around the threshold, shared passages, short and odd texts."""
     rng = random.Random(seed)
