@@ -1,30 +1,28 @@
 """N-gram Jaccard join by signature trees.
 
 A set's prefix, its rarest quarter of shingles and one more, meets that of every set similar enough. Each shingle that
-prefixes of different sets share is the root of a tree of those sets. A first traversal compares every set with its
-root's representative, and links join sets to components. Roots that still hold several components are traversed
-in pairs of nodes: nodes hold the OR of their sets' bitmaps and the range of their sizes, and a pair of nodes goes
-when the greatest overlap that these allow is below the least overlap asked for, or when one component holds both.
-Pairs of sets that are left are compared shingle by shingle. No link is lost: both traversals are exact.
+prefixes of different sets share is the root of a tree of those sets: nodes hold the OR of their sets' bitmaps and the
+range of their sizes. Two nodes are traversed together, and the pair goes when the greatest overlap that these allow is
+below the least one asked for. Pairs of sets that the leaves leave are compared shingle by shingle, unless they are
+connected already; so a task returns fewer links than it has sets, however many pairs a group of copies has. No link
+that connects anything is lost: prefixes and bounds are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import map_batches, table, written
+from marlstone.llm.common import give_back, map_batches, table, written
 from marlstone.llm.components import components
 
-#: Words in a shingle; similarity as a fraction; sets in a leaf; sets of a root compared in one task; members beside
-#: their representative in one task; 64-bit numbers that mark common shingles; ids that are broadcast at most; bytes
-#: of input for a bucket of prefixes; sets under small roots in one task.
-WORDS, ABOVE, BELOW, LEAF, BLOCK, CHUNK, WORDS_OF, SMALL, BUCKET, TOGETHER = 5, 3, 4, 8, 8192, 64, 1 << 21, 1_000_000, 16 << 20, 50_000
+#: Words in a shingle; similarity as a fraction; sets in a leaf; shingles of a block of a large root's sets and of the
+#: small roots that share a task; 64-bit numbers that mark shingles; ids that are broadcast at most; bytes of input for a
+#: bucket of prefixes; slices of rows from which a shingle is frequent.
+WORDS, ABOVE, BELOW, LEAF, BLOCK, TOGETHER, WORDS_OF, SMALL, BUCKET, OFTEN = 5, 3, 4, 64, 1 << 21, 1 << 23, 1 << 21, 1_000_000, 16 << 20, 64
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -79,16 +77,9 @@ def set_id(s: np.ndarray) -> int:
     return int(mixed(total).view(np.int64)[0])
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """The set's size, then a bit for each hash modulo a power of two of four bits a shingle, so a longer map folds onto a shorter one."""
-    bits = 1 << max(6, (4 * len(s) - 1).bit_length())
-    out = np.zeros(bits, dtype=np.uint8)
-    out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return len(s).to_bytes(8, "little") + np.packbits(out, bitorder="little").tobytes()
-
-
 def folded(words: np.ndarray, to: int) -> np.ndarray:
-    return np.bitwise_or.reduce(words.reshape(-1, to), axis=0) if len(words) > to else words
+    """Bitmaps (the last axis) of a power of two of 64-bit numbers as narrower ones."""
+    return np.bitwise_or.reduce(words.reshape(*words.shape[:-1], -1, to), axis=-2) if words.shape[-1] > to else words
 
 
 def alike(n, m):
@@ -106,29 +97,90 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return BELOW * both >= ABOVE * (len(a) + len(b) - both)
 
 
-def common_shingles(found: DataFrame) -> np.ndarray:
-    """A bit for each shingle that is a root, by its hash, in WORDS_OF 64-bit numbers however many roots there are.
+def bits_at(marks: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Whether a map of WORDS_OF 64-bit numbers has the bit of each hash."""
+    return (marks[s & np.uint64(WORDS_OF - 1)] >> ((s >> np.uint64(21)) & np.uint64(63))) & np.uint64(1) == 1
+
 
-    It only orders prefixes. Any order is exact, so a bit that two shingles share does no harm.
+def shared_shingles(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two maps with a bit for each shingle, by its hash: those that prefixes of different sets share, and frequent ones.
+
+    A slice of rows sends each shingle of its prefixes once, with 32 bits of its set's fingerprint (0: several sets), so a
+    shingle that every set has costs one number a slice. A frequent shingle occurs in OFTEN slices or more. The maps have
+    a fixed size however many shingles there are; any order and any split is exact, so a bit that two shingles share does
+    no harm.
     """
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftrightunsigned", F.col("g"), F.lit(21)).bitwiseAND(F.lit(63)).cast("int"))
-    words = found.groupBy(F.col("g").bitwiseAND(F.lit(WORDS_OF - 1)).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
-    out = np.zeros(WORDS_OF, dtype=np.uint64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    return out
+    shift = np.uint64(64 - (buckets - 1).bit_length())
+
+    def make():
+        of = Shingles()
+
+        def step(x: dict) -> dict:
+            sets = [s for s in map(of, x["__t"]) if len(s)]
+            out = {c: [] for c in ("bucket", "shingles", "marks")}
+            if sets:
+                tokens = np.concatenate([s[: reach(len(s))] for s in sets])
+                mark = np.repeat(np.array([set_id(s) & 0xFFFFFFFF | 1 for s in sets], dtype=np.uint32), [reach(len(s)) for s in sets])
+                tokens, mark = merged(tokens, mark)[:2]
+                bucket = (tokens >> shift).astype(np.int64)
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for a, z in zip(starts, [*starts[1:], len(bucket)], strict=True):
+                    for c, v in (("bucket", int(bucket[a])), ("shingles", tokens[a:z].tobytes()), ("marks", mark[a:z].tobytes())):
+                        out[c].append(v)
+            return out
+
+        return step
+
+    def find(t: pa.Table) -> pa.Table:
+        read = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=kind)
+        tokens, mark, slices = merged(read("shingles", np.uint64), read("marks", np.uint32))
+        at, bit = tokens & np.uint64(WORDS_OF - 1), np.uint64(1) << ((tokens >> np.uint64(21)) & np.uint64(63))
+        words = {}
+        for name, some in (("shared", mark == 0), ("often", slices >= OFTEN)):
+            words[name] = np.zeros(WORDS_OF, dtype=np.uint64)
+            np.bitwise_or.at(words[name], at[some], bit[some])
+        w = np.flatnonzero(words["shared"] | words["often"])
+        return pa.table({"w": w, **{k: v[w].view(np.int64) for k, v in words.items()}})
+
+    packed = map_batches(docs.select("__t"), make, "bucket bigint, shingles binary, marks binary")
+    found = packed.groupBy("bucket").applyInArrow(find, "w bigint, shared bigint, often bigint")
+    table_ = found.groupBy("w").agg(F.bit_or("shared").alias("shared"), F.bit_or("often").alias("often")).toArrow()
+    out = np.zeros((2, WORDS_OF), dtype=np.uint64)
+    for i, c in enumerate(("shared", "often")):
+        out[i, table_.column("w").to_numpy()] = table_.column(c).to_numpy().view(np.uint64)
+    return out[0], out[1]
+
+
+def merged(tokens: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens, sorted; the mark that all of a token's rows have, 0 if they differ; a token's rows."""
+    order = np.argsort(tokens, kind="stable")
+    tokens, mark = tokens[order], mark[order]
+    start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, dtype=np.int64)
+    if not len(start):
+        return tokens, mark, start
+    low, high = np.minimum.reduceat(mark, start), np.maximum.reduceat(mark, start)
+    return tokens[start], np.where(low == high, low, np.uint32(0)), np.diff(np.append(start, len(tokens)))
+
+
+def reach(n: int) -> int:
+    """Shingles of the prefix of a set of n: any two similar sets' prefixes share one."""
+    return n - -(-ABOVE * n // BELOW) + 1
 
 
 def prefix(s: np.ndarray, common: np.ndarray | None) -> np.ndarray:
     """The first quarter of a set and one more, in an order that puts common shingles last."""
-    n = len(s) - -(-ABOVE * len(s) // BELOW) + 1
     if common is not None:
-        often = (common[s & np.uint64(WORDS_OF - 1)] >> ((s >> np.uint64(21)) & np.uint64(63))) & np.uint64(1) == 1
-        s = np.concatenate([s[~often], s[often]])
-    return s[:n]
+        often = bits_at(common, s)
+        return np.concatenate([s[~often], s[often]])[: reach(len(s))]
+    return s[: reach(len(s))]
+
 
+def postings(docs: DataFrame, common: np.ndarray | None, often: np.ndarray | None, buckets: int) -> DataFrame:
+    """Prefixes of all sets, packed by bucket: (bucket, shingles, counts, sids, sizes).
 
-def postings(docs: DataFrame, common: np.ndarray | None, buckets: int) -> DataFrame:
-    """Prefixes of all sets, packed by bucket of the shingle's top bits: (bucket, shingles, counts, sids, sizes)."""
+    A bucket is the shingle's top bits. Frequent shingles are dealt by their sets instead, over as many buckets more, so
+    no bucket holds a hot shingle whole.
+    """
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
     def make():
@@ -147,6 +199,8 @@ def postings(docs: DataFrame, common: np.ndarray | None, buckets: int) -> DataFr
                 tokens = np.concatenate([p for _, _, p in parts])
                 sids, sizes = np.array([p[0] for p in parts], dtype=np.int64), np.array([p[1] for p in parts], dtype=np.int32)
                 bucket = (tokens >> shift).astype(np.int64)
+                if often is not None:
+                    bucket = np.where(bits_at(often, tokens), buckets + (sids[which].view(np.uint64) % np.uint64(buckets)).astype(np.int64), bucket)
                 order = np.argsort(bucket, kind="stable")
                 starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
                 for a, z in zip(starts, [*starts[1:], len(order)], strict=True):
@@ -161,14 +215,15 @@ def postings(docs: DataFrame, common: np.ndarray | None, buckets: int) -> DataFr
     return map_batches(docs.select("__t"), make, "bucket bigint, shingles binary, counts binary, sids binary, sizes binary")
 
 
-def roots(packed: DataFrame) -> DataFrame:
-    """(g, sid, n, pivot, pivot_n): the sets under each shingle that two or more different sets share.
+def roots(packed: DataFrame, buckets: int) -> DataFrame:
+    """(g, sid, n): the sets under each shingle that two or more different sets share.
 
-    Roots of a bucket that hold the same sets are one. The pivot is the root's set with the least fingerprint.
+    Roots of a bucket that hold the same sets are one. A frequent shingle's sets come from many buckets, so each gives what it has.
     """
 
     def find(t: pa.Table) -> pa.Table:
         read = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=kind)
+        split = t.column("bucket")[0].as_py() >= buckets
         tokens, counts = read("shingles", np.uint64), read("counts", np.int32)
         sid, n = np.repeat(read("sids", np.int64), counts), np.repeat(read("sizes", np.int32), counts)
         order = np.lexsort((sid, tokens))
@@ -178,188 +233,216 @@ def roots(packed: DataFrame) -> DataFrame:
         tokens, sid, n = tokens[new], sid[new], n[new]
         start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         size = np.diff(np.append(start, len(tokens)))
-        mark = np.add.reduceat(mixed(sid.view(np.uint64)), start) + size.astype(np.uint64) * PRIME
-        _, first = np.unique(mark, return_index=True)
-        keep = np.zeros(len(start), dtype=bool)
-        keep[first] = True
-        keep &= size > 1
+        keep = np.full(len(start), split)
+        if not split:
+            mark = np.add.reduceat(mixed(sid.view(np.uint64)), start) + size.astype(np.uint64) * PRIME
+            keep[np.unique(mark, return_index=True)[1]] = True
+            keep &= size > 1
         rows = np.repeat(keep, size)
-        pivot, pivot_n = np.repeat(sid[start], size), np.repeat(n[start], size)
-        out = [tokens.view(np.int64)[rows], sid[rows], n[rows], pivot[rows], pivot_n[rows]]
-        return pa.table(dict(zip(("g", "sid", "n", "pivot", "pivot_n"), out, strict=True)))
+        return pa.table({"g": tokens.view(np.int64)[rows], "sid": sid[rows], "n": n[rows]})
 
-    return packed.groupBy("bucket").applyInArrow(find, "g bigint, sid bigint, n int, pivot bigint, pivot_n int")
+    return packed.groupBy("bucket").applyInArrow(find, "g bigint, sid bigint, n int")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, similar: Callable) -> DataFrame:
-    """The pairs (a, b) that `similar(a's, b's)` holds for; sets have sid and s, pairs are a written table.
+class Tree:
+    """A signature tree of a root's sets, ordered by size and then by least shingle so that copies lie together.
 
-    A set is sent once for each representative a that it meets, and a representative once for each CHUNK of its sets.
+    A node is (parts, positions, bitmaps, OR bitmap, least size, greatest size, slack); leaves hold LEAF sets and their
+    bitmaps. A node's width is that of its smallest set: four bits a shingle. Slack is the most shingles of a set beyond
+    its bits; an overlap is at most the common bits and the slack of the narrower side.
     """
-    per = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("__n"))
-    dealt = written(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), "__n").alias("k")))
-    members = dealt.join(sets, F.col("b") == F.col("sid")).select("a", "k", "b", "s")
-    heads = dealt.select("a", "k").distinct().join(sets, F.col("a") == F.col("sid")).select("a", "k", F.lit(None).cast("bigint").alias("b"), "s")
-
-    def compare(t: pa.Table) -> pa.Table:
-        b, s = t.column("b").to_pylist(), [np.frombuffer(x, dtype=np.uint64) for x in t.column("s").to_pylist()]
-        head = s[b.index(None)]
-        hit = [x for x, y in zip(b, s, strict=True) if x is not None and similar(head, y)]
-        return pa.table({"a": pa.array([t.column("a")[0].as_py()] * len(hit), pa.int64()), "b": pa.array(hit, pa.int64())})
-
-    return members.unionByName(heads).groupBy("a", "k").applyInArrow(compare, "a bigint, b bigint")
-
-
-def may_link(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether bitmaps (behind the set's size) leave room for the overlap asked for."""
-    (n, x), (m, y) = (int(x[0]), x[1:]), (int(y[0]), y[1:])
-    to = min(len(x), len(y))
-    common = int(np.bitwise_count(folded(x, to) & folded(y, to)).sum())
-    most = common + min(n - int(np.bitwise_count(folded(x, to)).sum()), m - int(np.bitwise_count(folded(y, to)).sum()))
-    return (ABOVE + BELOW) * min(most, n, m) >= ABOVE * (n + m)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, pruned: bool = False) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose sets are similar: first by their bitmaps if not yet `pruned`, then by all their shingles."""
-    maps = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("__id").alias("__id"), F.first("bits").alias("s"))
-    maps = written(maps.join(ends(pairs), "sid", "left_semi"))
-    left = pairs if pruned else written(compared(pairs, maps.select("sid", "s"), may_link))
-    ids = written(maps.join(ends(left), "sid", "left_semi").select("__id").distinct())
-    ids = F.broadcast(ids) if ids.count() <= SMALL else ids
 
-    def make():
-        of = Shingles()
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        self.n = np.array([len(s) for s in sets], dtype=np.int64)
+        order = np.lexsort((np.array([s[0] for s in sets]), np.floor(np.log(self.n) * 8)))
+        leaves = [self.leaf(order[a : a + LEAF]) for a in range(0, len(order), LEAF)]
+        while len(leaves) > 1:
+            leaves = [self.over(leaves[a : a + 2]) for a in range(0, len(leaves), 2)]
+        self.top = leaves[0]
+
+    def leaf(self, at: np.ndarray) -> tuple:
+        n = self.n[at]
+        width = 1 << max(6, (4 * int(n.min()) - 1).bit_length())
+        map_ = np.zeros((len(at), width), dtype=np.uint8)
+        map_[np.repeat(np.arange(len(at)), n), (np.concatenate([self.sets[i] for i in at]) & np.uint64(width - 1)).astype(np.int64)] = 1
+        bits = np.packbits(map_, axis=1, bitorder="little").view(np.uint64)
+        return (), at, bits, np.bitwise_or.reduce(bits, axis=0), int(n.min()), int(n.max()), int((n - np.bitwise_count(bits).sum(axis=1)).max())
+
+    def over(self, parts: list[tuple]) -> tuple:
+        if len(parts) == 1:
+            return parts[0]
+        width = min(len(p[3]) for p in parts)
+        slack = max(p[6] if len(p[3]) == width else self.slack(p, width) for p in parts)
+        return tuple(parts), None, None, np.bitwise_or.reduce([folded(p[3], width) for p in parts], axis=0), min(p[4] for p in parts), max(p[5] for p in parts), slack
+
+
+    def slack(self, node: tuple, width: int) -> int:
+        if node[0]:
+            return max(self.slack(p, width) for p in node[0])
+        return int((self.n[node[1]] - np.bitwise_count(folded(node[2], width)).sum(axis=1)).max())
 
-        def step(x: dict) -> dict:
-            sets = [of(t) for t in x["__t"]]
-            return {"sid": [set_id(s) if len(s) else None for s in sets], "s": [s.tobytes() for s in sets]}
 
-        return step
+def apart(x: tuple, y: tuple) -> bool:
+    """No set of node x can be similar to one of node y: by their sizes, or by the greatest overlap that their bitmaps allow."""
+    if BELOW * x[5] < ABOVE * y[4] or BELOW * y[5] < ABOVE * x[4]:
+        return True
+    if len(x[3]) > len(y[3]):
+        x, y = y, x
+    common = int(np.bitwise_count(x[3] & folded(y[3], len(x[3]))).sum())
+    return (ABOVE + BELOW) * min(x[5], y[5], common + x[6]) < ABOVE * (x[4] + y[4])
+
+
+def candidates(x: tuple, y: tuple, left: Tree, right: Tree, groups: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+    """Positions of pairs of two leaves that aren't in one group and whose bitmaps leave room for the overlap asked for, those likeliest to be similar first."""
+    may = groups[0][:, None] != groups[1][None, :]
+    if not may.any():
+        return []
+    width = min(x[2].shape[1], y[2].shape[1])
+    a, b = folded(x[2], width), folded(y[2], width)
+    n, m = left.n[x[1]], right.n[y[1]]
+    common = np.zeros((len(n), len(m)), dtype=np.int64)
+    for at in range(0, width, 64):  # bounded memory, however long the sets are
+        common += np.bitwise_count(a[:, None, at : at + 64] & b[None, :, at : at + 64]).sum(axis=2, dtype=np.int64)
+    most = common + np.minimum((n - np.bitwise_count(a).sum(axis=1))[:, None], (m - np.bitwise_count(b).sum(axis=1))[None, :])
+    most = np.minimum(most, np.minimum(n[:, None], m[None, :]))
+    may &= (ABOVE + BELOW) * most >= ABOVE * (n[:, None] + m[None, :])
+    if left is right and x is y:
+        may &= np.tri(len(n), k=-1, dtype=bool)
+    i, j = np.nonzero(may)
+    first = np.argsort(-(most[i, j] / (n[i] + m[j])), kind="stable")
+    return list(zip(x[1][i[first]].tolist(), y[1][j[first]].tolist(), strict=True))
+
+
+class Groups:
+    """Union-find over fingerprints."""
 
-    sets = written(map_batches(docs.join(ids, "__id", "left_semi").select("__t"), make, "sid bigint, s binary"))
-    return compared(left, sets, links)
+    def __init__(self):
+        self.above: dict[int, int] = {}
 
+    def find(self, x: int) -> int:
+        while (y := self.above.get(x, x)) != x:
+            self.above[x] = x = self.above.get(y, y)
+        return x
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    def join(self, x: int, y: int) -> None:
+        self.above[self.find(x)] = self.find(y)
 
 
-class Tree:
-    """Sets sorted by size, halved down to leaves; a node is (from, to, OR bitmap, least size, greatest size, slack, component, parts, earlier root).
+def traversed(left: Tree, right: Tree, sids: tuple, earlier: tuple, groups: Groups) -> list[tuple[int, int]]:
+    """Links (fingerprints) between sets of two trees that connect what `groups` hasn't connected yet.
 
-    A node's bitmap is as wide as its narrowest set's. Slack: the most shingles of a set beyond its bits at that
-    width; an overlap is at most the common bits and the slack of the narrower side.
+    Dual traversal: pairs of nodes that are apart go whole; pairs of sets that the leaves' bitmaps leave are compared by
+    their shingles, unless they are connected already or meet under an earlier root.
     """
+    same, out, todo = left is right, [], [(left.top, right.top)]
+    while todo:
+        x, y = todo.pop()
+        if apart(x, y):
+            continue
+        if not x[0] and not y[0]:
+            labels = [np.array([groups.find(of[i]) for i in node[1]]) for of, node in zip(sids, (x, y), strict=True)]
+            for i, j in candidates(x, y, left, right, labels):
+                u, v = sids[0][i], sids[1][j]
+                if groups.find(u) != groups.find(v) and earlier[0][i].isdisjoint(earlier[1][j]) and links(left.sets[i], right.sets[j]):
+                    groups.join(u, v)
+                    out.append((min(u, v), max(u, v)))
+        elif same and x is y:
+            todo += [(p, q) for k, p in enumerate(x[0]) for q in x[0][: k + 1]]
+        elif x[0] and (not y[0] or x[5] - x[4] >= y[5] - y[4]):
+            todo += [(p, y) for p in x[0]]
+        else:
+            todo += [(x, q) for q in y[0]]
+    return out
 
-    def __init__(self, sizes: np.ndarray, maps: list[np.ndarray], comps: np.ndarray, earlier: list[np.ndarray]):
-        self.order = np.lexsort((comps, sizes))
-        self.n, self.comp = sizes[self.order], comps[self.order]
-        self.earlier = [frozenset(earlier[i].tolist()) for i in self.order]
-        self.before = [int(earlier[i].max()) if len(earlier[i]) else None for i in self.order]
-        self.maps = [maps[i] for i in self.order]
-        self.top = self.node(0, len(sizes))
 
-    def node(self, a: int, z: int) -> tuple:
-        comp = self.comp[a] if (self.comp[a:z] == self.comp[a]).all() else None
-        parts = [] if z - a <= LEAF else [self.node(a, (a + z) // 2), self.node((a + z) // 2, z)]
-        width = min(map(len, self.maps[a:z]))
-        bits = np.array([folded(m[1:], width - 1) for m in self.maps[a:z]])
-        slack = int((self.n[a:z] - np.bitwise_count(bits).sum(axis=1)).max())
-        before = self.before[a] if len(set(self.before[a:z])) == 1 else None
-        return a, z, np.bitwise_or.reduce(bits, axis=0), int(self.n[a:z].min()), int(self.n[a:z].max()), slack, comp, parts, before
+def held_sets(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(sid, s): the shingles of each set of `members`, from one document of each."""
+    ids = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("__id").alias("__of"))
+    ids = written(ids.join(members.select("sid").distinct(), "sid", "left_semi").select("__of").distinct())
+    ids = F.broadcast(ids) if ids.count() <= SMALL else ids
 
+    def make():
+        of = Shingles()
 
-def apart(x: tuple, y: tuple) -> bool:
-    """No set of node x can be similar to one of node y, or one component or an earlier root holds both."""
-    if x[6] is not None and x[6] == y[6] or x[8] is not None and x[8] == y[8]:
-        return True
-    if BELOW * x[4] < ABOVE * y[3] or BELOW * y[4] < ABOVE * x[3]:
-        return True
-    least = -(-ABOVE * (x[3] + y[3]) // (ABOVE + BELOW))
-    if len(x[2]) > len(y[2]):
-        x, y = y, x
-    common = int(np.bitwise_count(x[2] & folded(y[2], len(x[2]))).sum())
-    return min(x[4], y[4], common + x[5]) < least
+        def step(x: dict) -> dict:
+            sets = [of(t) for t in x["__t"]]
+            return {"sid": [set_id(s) if len(s) else None for s in sets], "s": [s.tobytes() for s in sets]}
 
+        return step
+
+    return map_batches(docs.join(ids, F.col("__id").eqNullSafe(F.col("__of")), "left_semi").select("__t"), make, "sid bigint, s binary")
 
-def traversed(left: Tree, right: Tree) -> list[tuple[int, int]]:
-    """Positions of pairs of sets that may be similar and lie in different components; each unordered pair once."""
-    same, out = left is right, []
-    todo = [(left.top, right.top)]
-    while todo:
-        x, y = todo.pop()
-        if apart(x, y):
-            continue
-        if x[7] or y[7]:
-            if same and x is y:
-                p, q = x[7]
-                todo += [(p, p), (p, q), (q, q)]
-            elif x[7] and (not y[7] or x[1] - x[0] >= y[1] - y[0]):
-                todo += [(p, y) for p in x[7]]
-            else:
-                todo += [(x, q) for q in y[7]]
-            continue
-        for i in range(x[0], x[1]):
-            for j in range(max(y[0], i + 1) if same else y[0], y[1]):
-                if left.comp[i] != right.comp[j] and alike(left.n[i], right.n[j]) and left.earlier[i].isdisjoint(right.earlier[j]) and may_link(left.maps[i], right.maps[j]):
-                    out.append((i, j))
-    return out
 
+def met_under(found: DataFrame) -> DataFrame:
+    """(k, p, q, g, sid, part): the sets of each root that tasks (k, p, q) traverse.
 
-def crossing(found: DataFrame, rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that the trees of roots with several components don't rule out."""
-    labelled = found.select("g", "sid", "n").join(comps, F.col("sid") == F.col("v"), "left").select("g", "sid", "n", F.coalesce("c", "sid").alias("c"))
-    labelled = written(labelled)
-    several = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("f"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).filter("lo < hi")
+    Roots with the same least set share a task, as copies have many roots in common, so that a set is sent once. A root
+    of more than BLOCK shingles is cut by size into bins, and these into blocks by hash; blocks of a bin and of
+    neighbouring ones meet, each two in a task of its own.
+    """
+    per = found.groupBy("g").agg(F.count("*").alias("f"), F.min("sid").alias("lo"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
     # roots of different buckets that hold the same sets are one
-    several = several.groupBy("x", "y", "f").agg(F.min("g").alias("g"))
-    several = written(several.select("g", F.ceil(F.col("f") / BLOCK).cast("int").alias("blocks")))
-    # Sets that share this root and the one before it meet there. So the first root that two sets share compares
-    # them, and a root whose sets all share the one before it has nothing to compare.
-    by_size = Window.partitionBy("g").orderBy("n")
-    near = lambda m: BELOW * F.least("n", m) >= ABOVE * F.greatest("n", m)
-    # A set whose neighbours by size are too far off has no partner under this root.
-    members = labelled.join(several, "g").withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
-    members = members.filter(near(F.col("less")) | near(F.col("more"))).drop("less", "more")
+    per = written(per.filter("f > 1").groupBy("x", "y", "f").agg(F.min("g").alias("g"), F.first("lo").alias("lo"), F.first("w").alias("w")).select("g", "lo", "w"))
+    # Similar sizes lie in the same or neighbouring bins; a set alone in its three has no partner under this root.
+    own_bin = F.floor(F.log("n") / F.log(F.lit(BELOW / ABOVE))).cast("int")
+    all_ = written(found.join(per.select("g"), "g").withColumn("bin", own_bin))
+    bins = written(all_.groupBy("g", "bin").agg(F.count("*").alias("f"), F.sum("n").alias("w")))
+    around = bins.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    around = around.groupBy("g", "bin").agg(F.sum("f").alias("f")).filter("f > 1").select("g", "bin")
+    members = all_.join(around, ["g", "bin"])
+    # Sets that share this root and the one before it meet there; bounded windows: a set has no more roots than its
+    # prefix has shingles. A root whose sets all share the one before it has nothing to compare.
     members = written(members.withColumn("before", F.lag("g").over(Window.partitionBy("sid").orderBy("g"))))
     fresh = members.groupBy("g").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("before").alias("k"), F.count("*").alias("f"))
-    # a set's roots are no more than its prefix's shingles
-    held = members.groupBy("sid").agg(F.collect_list("g").alias("roots"))
-    members = members.drop("before").join(fresh.filter("f > 1 AND (k < f OR lo < hi)").select("g"), "g")
-    members = written(members)
-    maps = rows.join(members.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "bits").join(held, "sid")
-    block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    # A root of more than BLOCK sets is traversed block against block, each pair of blocks in a task of its own; other
-    # roots share a task by the dozen, so that a set's bitmap and roots are sent once a task and not once a root.
-    groups = 1 << max(4, (members.count() // TOGETHER).bit_length())
-    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("g"), F.lit(groups))).otherwise(F.col("g"))
-    spread = members.withColumns({"i": block, "k": key}).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = written(spread.select("k", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"), "g", "sid", "n", "c", "i"))
-    sent = spread.select("k", "p", "q", "sid").distinct().join(maps, "sid")
-    full = spread.select("*", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("array<bigint>").alias("roots")).unionByName(sent, allowMissingColumns=True)
+    per = per.join(fresh.filter("f > 1 AND (k < f OR lo < hi)").select("g"), "g", "left_semi")
+    total = per.groupBy("lo").agg(F.sum("w").alias("lo_w"))
+    per = written(per.join(total, "lo"))
+    sums = per.agg(F.sum(F.when(F.col("w") <= BLOCK, F.col("w")))).first()[0] or 0
+    groups = 1 << max(4, (sums // TOGETHER).bit_length())
+    small = per.filter(F.col("w") <= BLOCK).select("g", F.pmod(F.xxhash64(F.when(F.col("lo_w") <= TOGETHER, F.col("lo")).otherwise(F.col("g"))), F.lit(groups)).alias("k"))
+    zero = F.lit(0).cast("bigint")
+    little = members.join(small, "g").select("k", zero.alias("p"), zero.alias("q"), "g", "sid", zero.alias("part"))
+    large = per.filter(F.col("w") > BLOCK).select("g")
+    # a block's number: its bin, then its place in the bin
+    sizes = bins.join(large, "g").select("g", "bin", F.ceil(F.col("w") / (BLOCK // 2)).alias("n_of"))
+    meets = sizes.select("g", F.col("bin").alias("other"), F.col("n_of").alias("of"))
+    meets = sizes.join(meets, "g").filter(F.abs(F.col("bin") - F.col("other")) <= 1)
+    meets = meets.groupBy("g", "bin", "n_of").agg(F.collect_list(F.struct("other", "of")).alias("others"))
+    block = lambda b, i: (b.cast("bigint") * (1 << 32) + i)
+    big = members.join(meets, ["g", "bin"]).withColumn("part", block(F.col("bin"), F.pmod(F.xxhash64("sid"), F.col("n_of"))))
+    big = big.withColumn("o", F.explode("others")).withColumn("o", F.explode(F.transform(F.sequence(zero, F.col("o.of") - 1), lambda i: block(F.col("o.other"), i))))
+    big = big.select(F.col("g").alias("k"), F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "g", "sid", "part")
+    return written(members.groupBy("sid").agg(F.sort_array(F.collect_list("g")).alias("roots"))), little.unionByName(big)
+
+
+def connected(found: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) between sets, enough of them to connect all that links connect: a task returns fewer than it has sets."""
+    held, met = met_under(found)
+    met = written(met)
+    sets = held_sets(docs, rows, held).join(held, "sid")
+    sent = met.select("k", "p", "q", "sid").distinct().join(written(sets), "sid")
+    full = met.withColumns({"s": F.lit(None).cast("binary"), "roots": F.lit(None).cast("array<bigint>")}).unionByName(sent, allowMissingColumns=True)
 
     def traverse(t: pa.Table) -> pa.Table:
-        held = t.filter(pa.compute.is_valid(t.column("bits")))
-        of = {x: (np.frombuffer(y, dtype=np.uint64), np.array(r, dtype=np.int64)) for x, y, r in zip(*[held.column(k).to_pylist() for k in ("sid", "bits", "roots")], strict=True)}
-        rows_ = t.filter(pa.compute.is_null(t.column("bits"))).sort_by("g")
-        g, sid, n, c, i = (rows_.column(k).to_numpy() for k in ("g", "sid", "n", "c", "i"))
+        own = t.filter(pa.compute.is_valid(t.column("s")))
+        of = dict(zip(own.column("sid").to_pylist(), zip((np.frombuffer(x, dtype=np.uint64) for x in own.column("s").to_pylist()), own.column("roots").to_pylist(), strict=True), strict=True))
+        rest = t.filter(pa.compute.is_null(t.column("s"))).select(["g", "sid", "part"]).sort_by("g")
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        g, sid, part = (rest.column(c).to_numpy() for c in ("g", "sid", "part"))
         start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, dtype=np.int64)
-        hit: set[tuple[int, int]] = set()
+        groups, out = Groups(), []
         for a, z in zip(start, [*start[1:], len(g)], strict=True):
             trees = {}
             for k in {p, q}:
-                at = a + np.flatnonzero(i[a:z] == k)
-                if len(at):
-                    own = [of[x] for x in sid[at].tolist()]
-                    tree = Tree(n[at], [m for m, _ in own], c[at], [r[r < g[a]] for _, r in own])
-                    trees[k] = tree, sid[at][tree.order]
+                some = sid[a:z][part[a:z] == k].tolist()
+                if some:
+                    trees[k] = Tree([of[x][0] for x in some]), some, [frozenset(r for r in of[x][1] if r < g[a]) for x in some]
             if len(trees) == len({p, q}):
-                (x, xs), (y, ys) = trees[p], trees[q]
-                for j, m in traversed(x, y):
-                    u, v = int(xs[j]), int(ys[m])
-                    hit.add((min(u, v), max(u, v)))
-        return pa.table({"a": pa.array([h[0] for h in hit], pa.int64()), "b": pa.array([h[1] for h in hit], pa.int64())})
+                (x, xs, xe), (y, ys, ye) = trees[p], trees[q]
+                out += traversed(x, y, (xs, ys), (xe, ye), groups)
+        give_back()
+        return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
 
     return full.groupBy("k", "p", "q").applyInArrow(traverse, "a bigint, b bigint").distinct()
 
@@ -385,22 +468,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
         def step(x: dict) -> dict:
             sets = [of(t) for t in x["__t"]]
-            return {"__id": x["__id"], "sid": [set_id(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "bits": [bitmap(s) if len(s) else None for s in sets]}
+            return {"__id": x["__id"], "sid": [set_id(s) if len(s) else None for s in sets], "n": [len(s) for s in sets]}
 
         return step
 
-    rows = written(map_batches(docs, make, f"__id {kind}, sid bigint, n bigint, bits binary"))
+    rows = written(map_batches(docs, make, f"__id {kind}, sid bigint, n bigint"))
     # shingles that prefixes share in plain order are common; with these last, few prefixes but those of copies meet
     buckets = buckets_of(docs)
-    common = common_shingles(roots(postings(docs, None, buckets)))
-    found = written(roots(postings(docs, common, buckets)))
-    near = lambda a, b: BELOW * F.least(a, b) >= ABOVE * F.greatest(a, b)
-    first = written(found.filter((F.col("sid") != F.col("pivot")) & near(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct())
-    edges = written(verified(first, docs, rows))
-    comps = written(components(edges))
-    again = written(crossing(found, rows, comps).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if again.take(1):
-        comps = written(components(edges.unionByName(verified(again, docs, rows, pruned=True))))
+    common, often = shared_shingles(docs, buckets)
+    found = written(roots(postings(docs, common, often, buckets), buckets))
+    comps = written(components(written(connected(found, docs, rows))))
     whole = rows.join(comps, F.col("sid") == F.col("v"), "left").select("__id", "n", F.coalesce("c", "sid").alias("c"))
     least = whole.filter("c IS NOT NULL").groupBy("c").agg(F.min("__id").alias("m")).withColumnRenamed("c", "d")
     joined = whole.filter("c IS NOT NULL").join(least, F.col("c") == F.col("d")).select("__id", "n", "m")

@@ -236,12 +236,35 @@ def test_components_equal_brute_force(spark, seed):
 
 
 def test_blocks_of_a_large_root_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "BLOCK", 900)
+    monkeypatch.setattr(jaccard, "OFTEN", 1)
+    monkeypatch.setattr(jaccard, "LEAF", 2)
     texts = family(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(odd(spark, [(k, t, "en", "a", 0) for k, t in texts.items()])).collect()}
     assert got == jaccard.brute_force(texts)
 
 
+def test_a_large_group_gives_fewer_links_than_sets():
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    sets = []
+    for i in range(600):
+        words = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(120)] = f"x{i}"
+        sets.append(jaccard.Shingles()(" ".join(words)))
+    tree, ids, none = jaccard.Tree(sets), list(range(600)), [frozenset()] * 600
+    found, want = jaccard.Groups(), jaccard.Groups()
+    links = jaccard.traversed(tree, tree, (ids, ids), (none, none), found)
+    for i in range(600):
+        for j in range(i):
+            if jaccard.links(sets[i], sets[j]):
+                want.join(i, j)
+    assert len(links) < 600 and all(jaccard.links(sets[a], sets[b]) for a, b in links)
+    group = lambda g: [min(j for j in ids if g.find(j) == g.find(i)) for i in ids[::7]]
+    assert group(found) == group(want) and len({found.find(i) for i in ids}) == 600 - len(links)
+
+
 def test_one_of_each(spark):
     got = [r.doc_id for r in jaccard.one_of_each(odd(spark)).collect()]
     assert sorted(got) == [1, 2, 3, 4, 5, 7]
