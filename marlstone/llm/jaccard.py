@@ -21,8 +21,8 @@ from marlstone.llm.components import components
 
 #: Words in a shingle; similarity as a fraction; sets in a leaf; shingles of a block of a large root's sets and of the
 #: small roots that share a task; 64-bit numbers that mark shingles; ids that are broadcast at most; bytes of input for a
-#: bucket of prefixes; slices of rows from which a shingle is frequent.
-WORDS, ABOVE, BELOW, LEAF, BLOCK, TOGETHER, WORDS_OF, SMALL, BUCKET, OFTEN = 5, 3, 4, 64, 1 << 21, 1 << 23, 1 << 21, 1_000_000, 16 << 20, 64
+#: bucket of prefixes; slices of rows from which a shingle is frequent; bins of sizes in a factor of BELOW / ABOVE.
+WORDS, ABOVE, BELOW, LEAF, BLOCK, TOGETHER, WORDS_OF, SMALL, BUCKET, OFTEN, BINS = 5, 3, 4, 64, 1 << 21, 1 << 23, 1 << 21, 1_000_000, 16 << 20, 64, 4
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -77,6 +77,18 @@ def set_id(s: np.ndarray) -> int:
     return int(mixed(total).view(np.int64)[0])
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The set's size, its least shingle, then a bit for each hash modulo a power of two of four bits a shingle, so a longer map folds onto a shorter one."""
+    width = width_of(len(s))
+    out = np.zeros(width, dtype=np.uint8)
+    out[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return len(s).to_bytes(8, "little") + s[:1].tobytes() + np.packbits(out, bitorder="little").tobytes()
+
+
+def width_of(n: int) -> int:
+    return 1 << max(6, (4 * n - 1).bit_length())
+
+
 def folded(words: np.ndarray, to: int) -> np.ndarray:
     """Bitmaps (the last axis) of a power of two of 64-bit numbers as narrower ones."""
     return np.bitwise_or.reduce(words.reshape(*words.shape[:-1], -1, to), axis=-2) if words.shape[-1] > to else words
@@ -252,22 +264,20 @@ class Tree:
     its bits; an overlap is at most the common bits and the slack of the narrower side.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        self.n = np.array([len(s) for s in sets], dtype=np.int64)
-        order = np.lexsort((np.array([s[0] for s in sets]), np.floor(np.log(self.n) * 8)))
-        leaves = [self.leaf(order[a : a + LEAF]) for a in range(0, len(order), LEAF)]
+    def __init__(self, maps: list[bytes]):
+        maps = [np.frombuffer(m, dtype=np.uint64) for m in maps]
+        self.n = np.array([m[0] for m in maps], dtype=np.int64)
+        order = np.lexsort((np.array([m[1] for m in maps]), np.floor(np.log(self.n) * 8)))
+        leaves = [self.leaf(order[a : a + LEAF], maps) for a in range(0, len(order), LEAF)]
         while len(leaves) > 1:
             leaves = [self.over(leaves[a : a + 2]) for a in range(0, len(leaves), 2)]
         self.top = leaves[0]
 
-    def leaf(self, at: np.ndarray) -> tuple:
+    def leaf(self, at: np.ndarray, maps: list[np.ndarray]) -> tuple:
         n = self.n[at]
-        width = 1 << max(6, (4 * int(n.min()) - 1).bit_length())
-        map_ = np.zeros((len(at), width), dtype=np.uint8)
-        map_[np.repeat(np.arange(len(at)), n), (np.concatenate([self.sets[i] for i in at]) & np.uint64(width - 1)).astype(np.int64)] = 1
-        bits = np.packbits(map_, axis=1, bitorder="little").view(np.uint64)
-        return (), at, bits, np.bitwise_or.reduce(bits, axis=0), int(n.min()), int(n.max()), int((n - np.bitwise_count(bits).sum(axis=1)).max())
+        width = width_of(int(n.min())) // 64
+        bits = np.array([folded(maps[i][2:], width) for i in at])
+        return (), at, bits, np.bitwise_or.reduce(bits, axis=0), int(n.min()), int(n.max()), int((n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)).max())
 
     def over(self, parts: list[tuple]) -> tuple:
         if len(parts) == 1:
@@ -280,7 +290,7 @@ class Tree:
     def slack(self, node: tuple, width: int) -> int:
         if node[0]:
             return max(self.slack(p, width) for p in node[0])
-        return int((self.n[node[1]] - np.bitwise_count(folded(node[2], width)).sum(axis=1)).max())
+        return int((self.n[node[1]] - np.bitwise_count(folded(node[2], width)).sum(axis=1, dtype=np.int64)).max())
 
 
 def apart(x: tuple, y: tuple) -> bool:
@@ -293,25 +303,20 @@ def apart(x: tuple, y: tuple) -> bool:
     return (ABOVE + BELOW) * min(x[5], y[5], common + x[6]) < ABOVE * (x[4] + y[4])
 
 
-def candidates(x: tuple, y: tuple, left: Tree, right: Tree, groups: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
-    """Positions of pairs of two leaves that aren't in one group and whose bitmaps leave room for the overlap asked for, those likeliest to be similar first."""
-    may = groups[0][:, None] != groups[1][None, :]
-    if not may.any():
-        return []
+def possible(x: tuple, y: tuple, left: Tree, right: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """Of two leaves: which pairs of sets may be similar by their bitmaps, and the greatest overlaps that these allow."""
     width = min(x[2].shape[1], y[2].shape[1])
     a, b = folded(x[2], width), folded(y[2], width)
     n, m = left.n[x[1]], right.n[y[1]]
-    common = np.zeros((len(n), len(m)), dtype=np.int64)
+    most = np.zeros((len(n), len(m)), dtype=np.int64)
     for at in range(0, width, 64):  # bounded memory, however long the sets are
-        common += np.bitwise_count(a[:, None, at : at + 64] & b[None, :, at : at + 64]).sum(axis=2, dtype=np.int64)
-    most = common + np.minimum((n - np.bitwise_count(a).sum(axis=1))[:, None], (m - np.bitwise_count(b).sum(axis=1))[None, :])
-    most = np.minimum(most, np.minimum(n[:, None], m[None, :]))
-    may &= (ABOVE + BELOW) * most >= ABOVE * (n[:, None] + m[None, :])
+        most += np.bitwise_count(a[:, None, at : at + 64] & b[None, :, at : at + 64]).sum(axis=2, dtype=np.int64)
+    most += np.minimum((n - np.bitwise_count(a).sum(axis=1, dtype=np.int64))[:, None], (m - np.bitwise_count(b).sum(axis=1, dtype=np.int64))[None, :])
+    np.minimum(most, np.minimum(n[:, None], m[None, :]), out=most)
+    may = (ABOVE + BELOW) * most >= ABOVE * (n[:, None] + m[None, :])
     if left is right and x is y:
         may &= np.tri(len(n), k=-1, dtype=bool)
-    i, j = np.nonzero(may)
-    first = np.argsort(-(most[i, j] / (n[i] + m[j])), kind="stable")
-    return list(zip(x[1][i[first]].tolist(), y[1][j[first]].tolist(), strict=True))
+    return may, most
 
 
 class Groups:
@@ -329,30 +334,54 @@ class Groups:
         self.above[self.find(x)] = self.find(y)
 
 
-def traversed(left: Tree, right: Tree, sids: tuple, earlier: tuple, groups: Groups) -> list[tuple[int, int]]:
-    """Links (fingerprints) between sets of two trees that connect what `groups` hasn't connected yet.
-
-    Dual traversal: pairs of nodes that are apart go whole; pairs of sets that the leaves' bitmaps leave are compared by
-    their shingles, unless they are connected already or meet under an earlier root.
-    """
-    same, out, todo = left is right, [], [(left.top, right.top)]
+def traversed(left: Tree, right: Tree):
+    """Dual traversal: the pairs of leaves that are left; pairs of nodes that are apart go whole."""
+    same, todo = left is right, [(left.top, right.top)]
     while todo:
         x, y = todo.pop()
         if apart(x, y):
             continue
         if not x[0] and not y[0]:
-            labels = [np.array([groups.find(of[i]) for i in node[1]]) for of, node in zip(sids, (x, y), strict=True)]
-            for i, j in candidates(x, y, left, right, labels):
-                u, v = sids[0][i], sids[1][j]
-                if groups.find(u) != groups.find(v) and earlier[0][i].isdisjoint(earlier[1][j]) and links(left.sets[i], right.sets[j]):
-                    groups.join(u, v)
-                    out.append((min(u, v), max(u, v)))
+            yield x, y
         elif same and x is y:
             todo += [(p, q) for k, p in enumerate(x[0]) for q in x[0][: k + 1]]
         elif x[0] and (not y[0] or x[5] - x[4] >= y[5] - y[4]):
             todo += [(p, y) for p in x[0]]
         else:
             todo += [(x, q) for q in y[0]]
+
+
+def partnered(left: Tree, right: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of two trees have any possible partner in the other."""
+    out = np.zeros(len(left.n), dtype=bool), np.zeros(len(right.n), dtype=bool)
+    for x, y in traversed(left, right):
+        if not (out[0][x[1]].all() and out[1][y[1]].all()):
+            may, _ = possible(x, y, left, right)
+            out[0][x[1]] |= may.any(axis=1)
+            out[1][y[1]] |= may.any(axis=0)
+    return out
+
+
+def linked(left: Tree, right: Tree, sets: tuple, sids: tuple, earlier: tuple, groups: Groups) -> list[tuple[int, int]]:
+    """Links (fingerprints) between sets of two trees that connect what `groups` hasn't connected yet.
+
+    Pairs of sets that the leaves' bitmaps leave are compared by their shingles, those likeliest to be similar first,
+    unless they are connected already or meet under an earlier root.
+    """
+    out = []
+    for x, y in traversed(left, right):
+        mine, other = (np.array([groups.find(of[i]) for i in node[1]]) for of, node in zip(sids, (x, y), strict=True))
+        apart_ = mine[:, None] != other[None, :]
+        if not apart_.any():
+            continue
+        may, most = possible(x, y, left, right)
+        at = np.nonzero(may & apart_)
+        first = np.argsort(-(most[at] / (left.n[x[1][at[0]]] + right.n[y[1][at[1]]])), kind="stable")
+        for i, j in zip(x[1][at[0][first]].tolist(), y[1][at[1][first]].tolist(), strict=True):
+            u, v = sids[0][i], sids[1][j]
+            if groups.find(u) != groups.find(v) and earlier[0][i].isdisjoint(earlier[1][j]) and links(sets[0][i], sets[1][j]):
+                groups.join(u, v)
+                out.append((min(u, v), max(u, v)))
     return out
 
 
@@ -379,16 +408,16 @@ def met_under(found: DataFrame) -> DataFrame:
 
     Roots with the same least set share a task, as copies have many roots in common, so that a set is sent once. A root
     of more than BLOCK shingles is cut by size into bins, and these into blocks by hash; blocks of a bin and of
-    neighbouring ones meet, each two in a task of its own.
+    near ones meet, each two in a task of its own.
     """
     per = found.groupBy("g").agg(F.count("*").alias("f"), F.min("sid").alias("lo"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
     # roots of different buckets that hold the same sets are one
     per = written(per.filter("f > 1").groupBy("x", "y", "f").agg(F.min("g").alias("g"), F.first("lo").alias("lo"), F.first("w").alias("w")).select("g", "lo", "w"))
-    # Similar sizes lie in the same or neighbouring bins; a set alone in its three has no partner under this root.
-    own_bin = F.floor(F.log("n") / F.log(F.lit(BELOW / ABOVE))).cast("int")
+    # Similar sizes lie in bins at most BINS apart; a set alone in these has no partner under this root.
+    own_bin = F.floor(BINS * F.log("n") / F.log(F.lit(BELOW / ABOVE))).cast("int")
     all_ = written(found.join(per.select("g"), "g").withColumn("bin", own_bin))
     bins = written(all_.groupBy("g", "bin").agg(F.count("*").alias("f"), F.sum("n").alias("w")))
-    around = bins.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    around = bins.withColumn("bin", F.explode(F.sequence(F.col("bin") - BINS - 1, F.col("bin") + BINS + 1)))
     around = around.groupBy("g", "bin").agg(F.sum("f").alias("f")).filter("f > 1").select("g", "bin")
     members = all_.join(around, ["g", "bin"])
     # Sets that share this root and the one before it meet there; bounded windows: a set has no more roots than its
@@ -407,7 +436,7 @@ def met_under(found: DataFrame) -> DataFrame:
     # a block's number: its bin, then its place in the bin
     sizes = bins.join(large, "g").select("g", "bin", F.ceil(F.col("w") / (BLOCK // 2)).alias("n_of"))
     meets = sizes.select("g", F.col("bin").alias("other"), F.col("n_of").alias("of"))
-    meets = sizes.join(meets, "g").filter(F.abs(F.col("bin") - F.col("other")) <= 1)
+    meets = sizes.join(meets, "g").filter(F.abs(F.col("bin") - F.col("other")) <= BINS + 1)
     meets = meets.groupBy("g", "bin", "n_of").agg(F.collect_list(F.struct("other", "of")).alias("others"))
     block = lambda b, i: (b.cast("bigint") * (1 << 32) + i)
     big = members.join(meets, ["g", "bin"]).withColumn("part", block(F.col("bin"), F.pmod(F.xxhash64("sid"), F.col("n_of"))))
@@ -416,35 +445,69 @@ def met_under(found: DataFrame) -> DataFrame:
     return written(members.groupBy("sid").agg(F.sort_array(F.collect_list("g")).alias("roots"))), little.unionByName(big)
 
 
+def with_sets(met: DataFrame, what: DataFrame, names: list[str]) -> DataFrame:
+    """Rows for tasks (k, p, q): those of `met`, and each set's data (`names` of `what`, by sid) once a task."""
+    sent = met.select("k", "p", "q", "sid").distinct().join(what, "sid")
+    return met.withColumns({c: F.lit(None).cast(what.schema[c].dataType) for c in names}).unionByName(sent, allowMissingColumns=True)
+
+
+def each_root(t: pa.Table, data: str):
+    """Of a task's rows: (rows of a root by block, in the task's two blocks) for each root that both blocks have sets of."""
+    rest = t.filter(pa.compute.is_null(t.column(data))).select(["g", "sid", "part"]).sort_by("g")
+    p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+    g, sid, part = (rest.column(c).to_numpy() for c in ("g", "sid", "part"))
+    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, dtype=np.int64)
+    for a, z in zip(start, [*start[1:], len(g)], strict=True):
+        some = [sid[a:z][part[a:z] == k] for k in ((p, q) if p != q else (p,))]
+        if all(map(len, some)):
+            yield int(g[a]), some[0], some[-1], p, q
+
+
 def connected(found: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) between sets, enough of them to connect all that links connect: a task returns fewer than it has sets."""
+    """Links (a, b) between sets, enough of them to connect all that links connect: a task returns fewer than it has sets.
+
+    A first traversal by bitmaps alone finds the sets that have any possible partner; only these are sent whole to the second.
+    """
     held, met = met_under(found)
     met = written(met)
-    sets = held_sets(docs, rows, held).join(held, "sid")
-    sent = met.select("k", "p", "q", "sid").distinct().join(written(sets), "sid")
-    full = met.withColumns({"s": F.lit(None).cast("binary"), "roots": F.lit(None).cast("array<bigint>")}).unionByName(sent, allowMissingColumns=True)
+    maps = rows.join(met.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("bits").alias("bits"))
+
+    def filter_(t: pa.Table) -> pa.Table:
+        own = t.filter(pa.compute.is_valid(t.column("bits")))
+        of = dict(zip(own.column("sid").to_pylist(), own.column("bits").to_pylist(), strict=True))
+        out = {c: [] for c in ("p", "q", "g", "sid", "part")}
+        for g, xs, ys, p, q in each_root(t, "bits"):
+            left = Tree([of[s] for s in xs.tolist()])
+            right = left if p == q else Tree([of[s] for s in ys.tolist()])
+            hit, other = partnered(left, right)
+            for part, sids in [(p, xs[hit | other])] if p == q else [(p, xs[hit]), (q, ys[other])]:
+                for c, v in (("p", p), ("q", q), ("g", g), ("part", part)):
+                    out[c].append(np.full(len(sids), v, dtype=np.int64))
+                out["sid"].append(sids)
+        k = t.column("k")[0].as_py()
+        columns = {c: np.concatenate(v) if v else np.empty(0, dtype=np.int64) for c, v in out.items()}
+        give_back()
+        return pa.table({"k": np.full(len(columns["g"]), k, dtype=np.int64), **columns})
+
+    left = with_sets(met, maps, ["bits"]).groupBy("k", "p", "q").applyInArrow(filter_, "k bigint, p bigint, q bigint, g bigint, sid bigint, part bigint")
+    left = written(left)
+    sets = held_sets(docs, rows, left).join(held, "sid")
 
-    def traverse(t: pa.Table) -> pa.Table:
+    def compare(t: pa.Table) -> pa.Table:
         own = t.filter(pa.compute.is_valid(t.column("s")))
-        of = dict(zip(own.column("sid").to_pylist(), zip((np.frombuffer(x, dtype=np.uint64) for x in own.column("s").to_pylist()), own.column("roots").to_pylist(), strict=True), strict=True))
-        rest = t.filter(pa.compute.is_null(t.column("s"))).select(["g", "sid", "part"]).sort_by("g")
-        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        g, sid, part = (rest.column(c).to_numpy() for c in ("g", "sid", "part"))
-        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, dtype=np.int64)
+        of = {k: (np.frombuffer(s, dtype=np.uint64), r) for k, s, r in zip(*(own.column(c).to_pylist() for c in ("sid", "s", "roots")), strict=True)}
         groups, out = Groups(), []
-        for a, z in zip(start, [*start[1:], len(g)], strict=True):
-            trees = {}
-            for k in {p, q}:
-                some = sid[a:z][part[a:z] == k].tolist()
-                if some:
-                    trees[k] = Tree([of[x][0] for x in some]), some, [frozenset(r for r in of[x][1] if r < g[a]) for x in some]
-            if len(trees) == len({p, q}):
-                (x, xs, xe), (y, ys, ye) = trees[p], trees[q]
-                out += traversed(x, y, (xs, ys), (xe, ye), groups)
+        for g, xs, ys, p, q in each_root(t, "s"):
+            both = []
+            for sids in [xs.tolist()] if p == q else [xs.tolist(), ys.tolist()]:
+                sets_ = [of[s][0] for s in sids]
+                both.append((Tree([bitmap(s) for s in sets_]), sets_, sids, [frozenset(r for r in of[s][1] if r < g) for s in sids]))
+            (tree, *x), (other, *y) = both[0], both[-1]
+            out += linked(tree, other, *zip(x, y, strict=True), groups)
         give_back()
         return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
 
-    return full.groupBy("k", "p", "q").applyInArrow(traverse, "a bigint, b bigint").distinct()
+    return with_sets(left, sets, ["s", "roots"]).groupBy("k", "p", "q").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def buckets_of(docs: DataFrame) -> int:
@@ -468,11 +531,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
         def step(x: dict) -> dict:
             sets = [of(t) for t in x["__t"]]
-            return {"__id": x["__id"], "sid": [set_id(s) if len(s) else None for s in sets], "n": [len(s) for s in sets]}
+            return {"__id": x["__id"], "sid": [set_id(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "bits": [bitmap(s) if len(s) else None for s in sets]}
 
         return step
 
-    rows = written(map_batches(docs, make, f"__id {kind}, sid bigint, n bigint"))
+    rows = written(map_batches(docs, make, f"__id {kind}, sid bigint, n bigint, bits binary"))
     # shingles that prefixes share in plain order are common; with these last, few prefixes but those of copies meet
     buckets = buckets_of(docs)
     common, often = shared_shingles(docs, buckets)
