@@ -3,8 +3,8 @@
 A set's prefix, its rarest quarter of shingles and one more, meets that of every set similar enough. Each shingle that
 prefixes of different sets share is the root of a tree of those sets: nodes hold the OR of their sets' bitmaps and the
 range of their sizes. Two nodes are traversed together, and the pair goes when the greatest overlap that these allow is
-below the least one asked for. Pairs of sets that the leaves leave are compared shingle by shingle, unless they are
-connected already; so a task returns fewer links than it has sets, however many pairs a group of copies has. No link
+below the least one asked for. Pairs of sets that the leaves leave group sets, and each group's own tree is traversed again with
+its sets compared shingle by shingle, unless they are connected already; so a task returns fewer links than it has sets, however many pairs a group of copies has. No link
 that connects anything is lost: prefixes and bounds are exact.
 """
 
@@ -351,22 +351,11 @@ def traversed(left: Tree, right: Tree):
             todo += [(x, q) for q in y[0]]
 
 
-def partnered(left: Tree, right: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Which sets of two trees have any possible partner in the other."""
-    out = np.zeros(len(left.n), dtype=bool), np.zeros(len(right.n), dtype=bool)
-    for x, y in traversed(left, right):
-        if not (out[0][x[1]].all() and out[1][y[1]].all()):
-            may, _ = possible(x, y, left, right)
-            out[0][x[1]] |= may.any(axis=1)
-            out[1][y[1]] |= may.any(axis=0)
-    return out
-
+def linked(left: Tree, right: Tree, sids: tuple, groups: Groups, sets: tuple | None = None) -> list[tuple[int, int]]:
+    """Pairs (fingerprints) of similar sets of two trees, enough of them to connect what `groups` hasn't connected yet.
 
-def linked(left: Tree, right: Tree, sets: tuple, sids: tuple, earlier: tuple, groups: Groups) -> list[tuple[int, int]]:
-    """Links (fingerprints) between sets of two trees that connect what `groups` hasn't connected yet.
-
-    Pairs of sets that the leaves' bitmaps leave are compared by their shingles, those likeliest to be similar first,
-    unless they are connected already or meet under an earlier root.
+    Pairs that the leaves' bitmaps leave are compared by their shingles (`sets`), those likeliest to be similar first,
+    unless they are connected already; without `sets`, they count as they are.
     """
     out = []
     for x, y in traversed(left, right):
@@ -379,7 +368,7 @@ def linked(left: Tree, right: Tree, sets: tuple, sids: tuple, earlier: tuple, gr
         first = np.argsort(-(most[at] / (left.n[x[1][at[0]]] + right.n[y[1][at[1]]])), kind="stable")
         for i, j in zip(x[1][at[0][first]].tolist(), y[1][at[1][first]].tolist(), strict=True):
             u, v = sids[0][i], sids[1][j]
-            if groups.find(u) != groups.find(v) and earlier[0][i].isdisjoint(earlier[1][j]) and links(sets[0][i], sets[1][j]):
+            if groups.find(u) != groups.find(v) and (sets is None or links(sets[0][i], sets[1][j])):
                 groups.join(u, v)
                 out.append((min(u, v), max(u, v)))
     return out
@@ -388,7 +377,7 @@ def linked(left: Tree, right: Tree, sets: tuple, sids: tuple, earlier: tuple, gr
 def held_sets(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
     """(sid, s): the shingles of each set of `members`, from one document of each."""
     ids = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("__id").alias("__of"))
-    ids = written(ids.join(members.select("sid").distinct(), "sid", "left_semi").select("__of").distinct())
+    ids = written(ids.join(members.select("sid"), "sid", "left_semi").select("__of").distinct())
     ids = F.broadcast(ids) if ids.count() <= SMALL else ids
 
     def make():
@@ -403,111 +392,101 @@ def held_sets(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame
     return map_batches(docs.join(ids, F.col("__id").eqNullSafe(F.col("__of")), "left_semi").select("__t"), make, "sid bigint, s binary")
 
 
-def met_under(found: DataFrame) -> DataFrame:
-    """(k, p, q, g, sid, part): the sets of each root that tasks (k, p, q) traverse.
+def size_bin() -> Column:
+    """Sets of similar sizes lie in bins at most BINS + 1 apart."""
+    return F.floor(BINS * F.log("n") / F.log(F.lit(BELOW / ABOVE))).cast("int")
+
 
-    Roots with the same least set share a task, as copies have many roots in common, so that a set is sent once. A root
-    of more than BLOCK shingles is cut by size into bins, and these into blocks by hash; blocks of a bin and of
-    near ones meet, each two in a task of its own.
+def dealt(members: DataFrame, per: DataFrame) -> DataFrame:
+    """(k, p, q, g, sid, part): the sets of each group g that tasks (k, p, q) traverse; `members` have g, sid, n, `per` g, w (its shingles) and lo.
+
+    Groups with the same `lo` share a task. A group of more than BLOCK shingles is cut by size into bins, and these into
+    blocks by hash; blocks of a bin and of near ones meet, each two in a task of its own.
     """
-    per = found.groupBy("g").agg(F.count("*").alias("f"), F.min("sid").alias("lo"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
-    # roots of different buckets that hold the same sets are one
-    per = written(per.filter("f > 1").groupBy("x", "y", "f").agg(F.min("g").alias("g"), F.first("lo").alias("lo"), F.first("w").alias("w")).select("g", "lo", "w"))
-    # Similar sizes lie in bins at most BINS apart; a set alone in these has no partner under this root.
-    own_bin = F.floor(BINS * F.log("n") / F.log(F.lit(BELOW / ABOVE))).cast("int")
-    all_ = written(found.join(per.select("g"), "g").withColumn("bin", own_bin))
-    bins = written(all_.groupBy("g", "bin").agg(F.count("*").alias("f"), F.sum("n").alias("w")))
-    around = bins.withColumn("bin", F.explode(F.sequence(F.col("bin") - BINS - 1, F.col("bin") + BINS + 1)))
-    around = around.groupBy("g", "bin").agg(F.sum("f").alias("f")).filter("f > 1").select("g", "bin")
-    members = all_.join(around, ["g", "bin"])
-    # Sets that share this root and the one before it meet there; bounded windows: a set has no more roots than its
-    # prefix has shingles. A root whose sets all share the one before it has nothing to compare.
-    members = written(members.withColumn("before", F.lag("g").over(Window.partitionBy("sid").orderBy("g"))))
-    fresh = members.groupBy("g").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("before").alias("k"), F.count("*").alias("f"))
-    per = per.join(fresh.filter("f > 1 AND (k < f OR lo < hi)").select("g"), "g", "left_semi")
-    total = per.groupBy("lo").agg(F.sum("w").alias("lo_w"))
-    per = written(per.join(total, "lo"))
+    zero = F.lit(0).cast("bigint")
+    per = written(per.join(per.groupBy("lo").agg(F.sum("w").alias("lo_w")), "lo"))
     sums = per.agg(F.sum(F.when(F.col("w") <= BLOCK, F.col("w")))).first()[0] or 0
     groups = 1 << max(4, (sums // TOGETHER).bit_length())
     small = per.filter(F.col("w") <= BLOCK).select("g", F.pmod(F.xxhash64(F.when(F.col("lo_w") <= TOGETHER, F.col("lo")).otherwise(F.col("g"))), F.lit(groups)).alias("k"))
-    zero = F.lit(0).cast("bigint")
     little = members.join(small, "g").select("k", zero.alias("p"), zero.alias("q"), "g", "sid", zero.alias("part"))
-    large = per.filter(F.col("w") > BLOCK).select("g")
+    large = members.join(per.filter(F.col("w") > BLOCK).select("g"), "g").withColumn("bin", size_bin())
     # a block's number: its bin, then its place in the bin
-    sizes = bins.join(large, "g").select("g", "bin", F.ceil(F.col("w") / (BLOCK // 2)).alias("n_of"))
-    meets = sizes.select("g", F.col("bin").alias("other"), F.col("n_of").alias("of"))
-    meets = sizes.join(meets, "g").filter(F.abs(F.col("bin") - F.col("other")) <= BINS + 1)
+    sizes = large.groupBy("g", "bin").agg(F.ceil(F.sum("n") / (BLOCK // 2)).alias("n_of"))
+    meets = sizes.join(sizes.select("g", F.col("bin").alias("other"), F.col("n_of").alias("of")), "g").filter(F.abs(F.col("bin") - F.col("other")) <= BINS + 1)
     meets = meets.groupBy("g", "bin", "n_of").agg(F.collect_list(F.struct("other", "of")).alias("others"))
-    block = lambda b, i: (b.cast("bigint") * (1 << 32) + i)
-    big = members.join(meets, ["g", "bin"]).withColumn("part", block(F.col("bin"), F.pmod(F.xxhash64("sid"), F.col("n_of"))))
+    block = lambda b, i: b.cast("bigint") * (1 << 32) + i
+    big = large.join(meets, ["g", "bin"]).withColumn("part", block(F.col("bin"), F.pmod(F.xxhash64("sid"), F.col("n_of"))))
     big = big.withColumn("o", F.explode("others")).withColumn("o", F.explode(F.transform(F.sequence(zero, F.col("o.of") - 1), lambda i: block(F.col("o.other"), i))))
     big = big.select(F.col("g").alias("k"), F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "g", "sid", "part")
-    return written(members.groupBy("sid").agg(F.sort_array(F.collect_list("g")).alias("roots"))), little.unionByName(big)
-
+    return written(little.unionByName(big))
 
-def with_sets(met: DataFrame, what: DataFrame, names: list[str]) -> DataFrame:
-    """Rows for tasks (k, p, q): those of `met`, and each set's data (`names` of `what`, by sid) once a task."""
-    sent = met.select("k", "p", "q", "sid").distinct().join(what, "sid")
-    return met.withColumns({c: F.lit(None).cast(what.schema[c].dataType) for c in names}).unionByName(sent, allowMissingColumns=True)
 
+def met_under(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members: g, sid, n; per: g, lo, w): the sets of the roots that have anything to compare.
 
-def each_root(t: pa.Table, data: str):
-    """Of a task's rows: (rows of a root by block, in the task's two blocks) for each root that both blocks have sets of."""
-    rest = t.filter(pa.compute.is_null(t.column(data))).select(["g", "sid", "part"]).sort_by("g")
-    p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-    g, sid, part = (rest.column(c).to_numpy() for c in ("g", "sid", "part"))
-    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, dtype=np.int64)
-    for a, z in zip(start, [*start[1:], len(g)], strict=True):
-        some = [sid[a:z][part[a:z] == k] for k in ((p, q) if p != q else (p,))]
-        if all(map(len, some)):
-            yield int(g[a]), some[0], some[-1], p, q
+    Copies have many roots in common, so a root goes with others of the same least set, `lo`.
+    """
+    per = found.groupBy("g").agg(F.count("*").alias("f"), F.min("sid").alias("lo"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
+    # roots of different buckets that hold the same sets are one
+    per = written(per.filter("f > 1").groupBy("x", "y", "f").agg(F.min("g").alias("g"), F.first("lo").alias("lo"), F.first("w").alias("w")).select("g", "lo", "w"))
+    # a set without another in the bins around its own has no partner under this root
+    all_ = written(found.join(per.select("g"), "g").withColumn("bin", size_bin()))
+    around = all_.groupBy("g", "bin").agg(F.count("*").alias("f")).withColumn("bin", F.explode(F.sequence(F.col("bin") - BINS - 1, F.col("bin") + BINS + 1)))
+    around = around.groupBy("g", "bin").agg(F.sum("f").alias("f")).filter("f > 1").select("g", "bin")
+    # Sets that share this root and the one before it meet there; bounded windows: a set has no more roots than its
+    # prefix has shingles. A root whose sets all share the one before it has nothing to compare.
+    before = F.lag("g").over(Window.partitionBy("sid").orderBy("g"))
+    members = written(all_.join(around, ["g", "bin"]).select("g", "sid", "n", before.alias("before")))
+    fresh = members.groupBy("g").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("before").alias("k"), F.count("*").alias("f"))
+    per = written(per.join(fresh.filter("f > 1 AND (k < f OR lo < hi)").select("g"), "g", "left_semi"))
+    return members.select("g", "sid", "n"), per
 
 
-def connected(found: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b) between sets, enough of them to connect all that links connect: a task returns fewer than it has sets.
+def traversals(met: DataFrame, what: DataFrame, name: str) -> DataFrame:
+    """Pairs (a, b) that connect the sets of each task's groups: by bitmaps (`bits` of `what`) or by whole sets (`s`).
 
-    A first traversal by bitmaps alone finds the sets that have any possible partner; only these are sent whole to the second.
+    A set's data is sent once a task. A task returns fewer pairs than it has sets.
     """
-    held, met = met_under(found)
-    met = written(met)
-    maps = rows.join(met.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("bits").alias("bits"))
-
-    def filter_(t: pa.Table) -> pa.Table:
-        own = t.filter(pa.compute.is_valid(t.column("bits")))
-        of = dict(zip(own.column("sid").to_pylist(), own.column("bits").to_pylist(), strict=True))
-        out = {c: [] for c in ("p", "q", "g", "sid", "part")}
-        for g, xs, ys, p, q in each_root(t, "bits"):
-            left = Tree([of[s] for s in xs.tolist()])
-            right = left if p == q else Tree([of[s] for s in ys.tolist()])
-            hit, other = partnered(left, right)
-            for part, sids in [(p, xs[hit | other])] if p == q else [(p, xs[hit]), (q, ys[other])]:
-                for c, v in (("p", p), ("q", q), ("g", g), ("part", part)):
-                    out[c].append(np.full(len(sids), v, dtype=np.int64))
-                out["sid"].append(sids)
-        k = t.column("k")[0].as_py()
-        columns = {c: np.concatenate(v) if v else np.empty(0, dtype=np.int64) for c, v in out.items()}
-        give_back()
-        return pa.table({"k": np.full(len(columns["g"]), k, dtype=np.int64), **columns})
-
-    left = with_sets(met, maps, ["bits"]).groupBy("k", "p", "q").applyInArrow(filter_, "k bigint, p bigint, q bigint, g bigint, sid bigint, part bigint")
-    left = written(left)
-    sets = held_sets(docs, rows, left).join(held, "sid")
-
-    def compare(t: pa.Table) -> pa.Table:
-        own = t.filter(pa.compute.is_valid(t.column("s")))
-        of = {k: (np.frombuffer(s, dtype=np.uint64), r) for k, s, r in zip(*(own.column(c).to_pylist() for c in ("sid", "s", "roots")), strict=True)}
+    sent = met.select("k", "p", "q", "sid").distinct().join(what, "sid")
+    full = met.withColumn(name, F.lit(None).cast("binary")).unionByName(sent, allowMissingColumns=True)
+
+    def traverse(t: pa.Table) -> pa.Table:
+        own = t.filter(pa.compute.is_valid(t.column(name)))
+        of = dict(zip(own.column("sid").to_pylist(), own.column(name).to_pylist(), strict=True))
+        rest = t.filter(pa.compute.is_null(t.column(name))).select(["g", "sid", "part"]).sort_by("g")
+        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        g, sid, part = (rest.column(c).to_numpy() for c in ("g", "sid", "part"))
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, dtype=np.int64)
         groups, out = Groups(), []
-        for g, xs, ys, p, q in each_root(t, "s"):
+        for a, z in zip(start, [*start[1:], len(g)], strict=True):
             both = []
-            for sids in [xs.tolist()] if p == q else [xs.tolist(), ys.tolist()]:
-                sets_ = [of[s][0] for s in sids]
-                both.append((Tree([bitmap(s) for s in sets_]), sets_, sids, [frozenset(r for r in of[s][1] if r < g) for s in sids]))
-            (tree, *x), (other, *y) = both[0], both[-1]
-            out += linked(tree, other, *zip(x, y, strict=True), groups)
+            for k in [p] if p == q else [p, q]:
+                sids = sid[a:z][part[a:z] == k].tolist()
+                sets = [np.frombuffer(of[x], dtype=np.uint64) for x in sids] if name == "s" else None
+                both.append((Tree([of[x] for x in sids] if sets is None else [bitmap(x) for x in sets]) if sids else None, sids, sets))
+            (x, xs, xv), (y, ys, yv) = both[0], both[-1]
+            if x and y:
+                out += linked(x, y, (xs, ys), groups, (xv, yv) if name == "s" else None)
+        del own, of
         give_back()
         return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
 
-    return with_sets(left, sets, ["s", "roots"]).groupBy("k", "p", "q").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return full.groupBy("k", "p", "q").applyInArrow(traverse, "a bigint, b bigint").distinct()
+
+
+def connected(found: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) between sets, enough of them to connect all that links connect.
+
+    A first traversal, of the roots' trees by bitmaps alone, groups the sets that may be similar; similar ones are in one
+    group. A second one, of a tree for each group, compares whole sets. So a set is sent whole once, unless its group is large.
+    """
+    members, per = met_under(found)
+    maps = rows.join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("bits").alias("bits"))
+    groups = written(components(written(traversals(dealt(members, per), maps, "bits"))))
+    sizes = rows.filter("sid IS NOT NULL").groupBy(F.col("sid").alias("v")).agg(F.min("n").alias("n"))
+    members = written(groups.join(sizes, "v").select(F.col("c").alias("g"), F.col("v").alias("sid"), "n"))
+    per = members.groupBy("g").agg(F.sum("n").alias("w")).withColumn("lo", F.col("g"))
+    return traversals(dealt(members, per), held_sets(docs, rows, members), "s")
 
 
 def buckets_of(docs: DataFrame) -> int:

@@ -253,9 +253,9 @@ def test_a_large_group_gives_fewer_links_than_sets():
         for _ in range(rng.randrange(1, 6)):
             words[rng.randrange(120)] = f"x{i}"
         sets.append(jaccard.Shingles()(" ".join(words)))
-    tree, ids, none = jaccard.Tree([jaccard.bitmap(s) for s in sets]), list(range(600)), [frozenset()] * 600
+    tree, ids = jaccard.Tree([jaccard.bitmap(s) for s in sets]), list(range(600))
     found, want = jaccard.Groups(), jaccard.Groups()
-    links = jaccard.linked(tree, tree, (sets, sets), (ids, ids), (none, none), found)
+    links = jaccard.linked(tree, tree, (ids, ids), found, (sets, sets))
     for i in range(600):
         for j in range(i):
             if jaccard.links(sets[i], sets[j]):
