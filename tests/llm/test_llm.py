@@ -76,6 +76,26 @@ def test_pages():
     assert pages.main_text(None) == "" == pages.main_text("")
 
 
+def test_pages_of_odd_markup():
+    import time
+
+    assert pages.main_text('<article><p>a</p><p class="advert">no</p><ul><li class="share">no</li><li>b</li></ul></article>') == "a\n\nb"
+    assert pages.main_text('<article><div class="article-header"><h1>Title</h1></div><p>a</p></article>') == "Title\n\na"
+    assert pages.main_text('<p title="a > b">x</p><script>if (a < b) "</p>"</script>y<style>z') == "x\n\ny"
+    began = time.time()
+    pages.main_text('<a href="' * 120_000)
+    pages.main_text("<p>" + LONG + "</p>" + "<!--" * 50_000)
+    assert time.time() - began < 3
+
+
+def test_whole_branches_go(spark):
+    rows = [(i, f"http://h.example/{i}", f"<div class=top><div class=in><p>same</p></div><section><p>here too</p></section></div><div class=topic><p>own {i}</p></div>") for i in range(12)]
+    tree = {r.path: r.importance for r in pages.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert tree["div.top"] < pages.UNIMPORTANT < tree["div.topic"] and set(tree) == {"div.top", "div.top/div.in", "div.top/div.in/p", "div.top/section", "div.top/section/p", "div.topic", "div.topic/p"}
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own {i}" for i in range(12)}
+
+
 def test_style_tree_drops_what_every_page_repeats(spark):
     rows = [(i, f"http://h.example/{i}", f"<div class=top>same words</div><div class=body><p>text number {i} is its own</p></div>") for i in range(12)] + [(99, None, None)]
     got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
