@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 import os
 import re
 import unicodedata
@@ -19,9 +20,9 @@ from marlstone.llm.ranks import buckets_for, running
 
 #: Tokens in a sequence, the id that ends a document, and the tokenizer's file.
 CAPACITY, END, TOKENIZER = 4096, 1, "word_bpe_49k.json"
-#: Rounds of weights; step of a round; below this many pieces best fit finishes; parts of words in a generation that a
-#: worker remembers.
-ROUNDS, STEP, TAIL, REMEMBERED = 24, 0.5, 20_000, 150_000
+#: Rounds of weights; step of a round; rate of the weights; times that the program runs over what rounding left; parts of
+#: words in a generation that a worker remembers.
+ROUNDS, STEP, RATE, TURNS, REMEMBERED = 24, 0.5, 0.5, 4, 150_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -159,19 +160,29 @@ def filled(last: np.ndarray, room: int) -> Counter:
     return out
 
 
-def fractional(counts: np.ndarray, units: int) -> dict[tuple, float]:
-    """The covering program min sum x_p, sum x_p a_pc >= n_c, by multiplicative weights with knapsack pricing.
+def fractional(counts: np.ndarray, units: int) -> tuple[dict[tuple, float], float]:
+    """The covering program min sum x_p, sum x_p a_pc >= n_c, by multiplicative weights with knapsack pricing; and a lower bound of it.
 
-    A piece is worth a little more than its size, the more the less its class is covered. Each round prices once; every class still short then gets the best
-    configuration that holds it, in a share of what it lacks.
+    Each round prices once; every class still short then gets the best configuration that holds it, in a share of what it
+    lacks. A class's weight is multiplied by the more the less of it is covered, against the mean. Weights over the worth
+    of the best configuration are a solution of the dual, so each round bounds the program from below.
     """
     n = counts.astype(float)
     have = np.flatnonzero(n)
     short, x = n.copy(), Counter()
+    weights = (have / units) ** 1.15
+    bound = float((n[have] * have).sum() / units)
     for r in range(ROUNDS):
-        weights = np.zeros(units + 1)
-        weights[have] = np.where(short[have] > 1e-9, (have / units) ** 1.15 * np.exp(0.5 * short[have] / n[have]), 0)
-        _, last = priced(weights, units)
+        worth = np.zeros(units + 1)
+        worth[have] = weights
+        value, last = priced(worth, units)
+        bound = max(bound, float((n[have] * weights).sum() / value[units]))
+        open_ = short[have] > 1e-9
+        if not open_.any():
+            break
+        if not open_.all():
+            worth[have] = np.where(open_, weights, 0)
+            _, last = priced(worth, units)
         share = 1.0 if r == ROUNDS - 1 else STEP
         for c in have[::-1]:
             if short[c] < 1e-9:
@@ -184,14 +195,21 @@ def fractional(counts: np.ndarray, units: int) -> dict[tuple, float]:
                 x[tuple(sorted(pattern.items(), reverse=True))] += amount
                 for k, a in pattern.items():
                     short[k] -= amount * a
-    return x
+        lack = short[have] / n[have]
+        weights = weights * np.exp(RATE * (lack - lack.mean()))
+    return x, bound
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(length, low, high, first sequence, sequences, copy0 offset, copies): where pieces number low to high of a length go.
+    """(length, low, high, first sequence, sequences, copy0 offset, copies): where pieces number low to high of a length go."""
+    return bounded_plan(histogram, capacity)[0]
+
+
+def bounded_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int, int]], int]:
+    """The plan, and a number of sequences that no plan can do without.
 
     Every length is a class of its own, so no room is lost to coarser ones. The program's solution is rounded down to whole sequences, again and again over what is left; best fit places
-    the last few. Its size follows the lengths that occur, not the number of pieces.
+    what rounding leaves. Its size follows the lengths that occur, not the number of pieces.
     """
     left = {k: v for k, v in sorted(histogram.items(), reverse=True) if v > 0}
     used, out, sequence = Counter(), [], 0
@@ -211,12 +229,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
     if left.get(capacity):
         place([(capacity, 1)], left[capacity])
-    while sum(left.values()) > TAIL:
+    full, least = sequence, 0.0
+    for turn in range(TURNS):
+        if not left:
+            break
         counts = np.zeros(capacity + 1, dtype=np.int64)
         for length, k in left.items():
             counts[length] = k
         before = sequence
-        for pattern, amount in sorted(fractional(counts, capacity).items(), key=lambda p: -p[1]):
+        found, bound = fractional(counts, capacity)
+        least = least if turn else bound
+        for pattern, amount in sorted(found.items(), key=lambda p: -p[1]):
             times = min(int(amount), *[left.get(length, 0) // a for length, a in pattern])
             if times > 0:
                 place(list(pattern), times)
@@ -243,7 +266,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     for same in list(bins.values()):
         for one in same:
             place(sorted(one.items(), reverse=True), 1)
-    return out
+    return out, full + math.ceil(least - 1e-6)
 
 
 def pack(parts: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
