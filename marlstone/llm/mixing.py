@@ -13,6 +13,8 @@ from marlstone.llm.ranks import buckets_for, running
 
 #: Words in a block, blocks in an output shard, most passes over a source, share of all words in the mix.
 BLOCK, SHARD, PASSES, SHARE, SEED = 256, 4096, 2, 1.5, 17
+#: Slots that a task makes.
+PER_TASK = 1 << 15
 WEIGHTS = (3, 1, 2)
 
 
@@ -129,7 +131,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
         return step
 
-    slots = map_batches(drawn.repartition(max(1, min(len(rows), 2000))) if rows else drawn, make, "shard bigint, slot bigint, __i int, __block bigint")
+    slots = map_batches(drawn.repartition(max(1, min(len(rows), -(-sum(used) // PER_TASK)))) if rows else drawn, make, "shard bigint, slot bigint, __i int, __block bigint")
     first, last = F.floor(F.col("__at") / block), F.floor((F.col("__at") + F.col("size") - 1) / block)
     pieces = placed.filter("size > 0").withColumn("__block", F.explode(F.sequence(first, last)))
     start = F.greatest(F.col("__block") * block, F.col("__at"))
@@ -176,7 +178,8 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source"
     Documents that the mix doesn't take, those without words among them, don't occur. `length` is made anew.
     """
     names = docs.columns
-    marked = docs.withColumn("__uid", F.monotonically_increasing_id())
+    # written once, so that a row keeps its number whatever its splits are when it is read again
+    marked = written(docs.withColumn("__uid", F.monotonically_increasing_id()))
     documents, places = mix(marked, key, source, text, uid="__uid", **options)
     use = places.groupBy("__uid").agg(F.collect_list(F.struct("first", "length")).alias("__parts"), F.sum("length").alias("__taken"))
     use = use.join(documents.select(F.col("__uid").alias("__of"), F.col("size").alias("__size")), F.col("__uid") == F.col("__of")).drop("__of", "__taken")
