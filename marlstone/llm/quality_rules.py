@@ -14,10 +14,12 @@ from marlstone.llm.common import table, written
 
 #: Least words; share of words in repeated windows (per cent) above which a text fails; words in a window.
 LEAST_WORDS, MOST_REPEAT, WINDOW = 50, 50, 3
-#: Share of rows that a concentration step keeps; steps; fewest rows of a group with an estimate of its own and of
-#: any estimate; squared distance beyond which a text goes; least deviations of the four transformed statistics.
-KEEP, STEPS, OWN, ANY, CUTOFF = 0.75, 3, 60, 8, 25.0
-FLOORS = (0.08, 0.05, 0.25, 0.25)
+#: Share of rows that a concentration step keeps; most steps, and the fall of the log determinant below which they end;
+#: fewest rows of a group with an estimate of its own and of any estimate; squared distance beyond which a text goes, which
+#: one in a thousand of normal vectors exceeds (chi-square, 4 degrees); least deviations of the four transformed statistics;
+#: groups that are broadcast at most.
+KEEP, STEPS, EPS, OWN, ANY, CUTOFF, SMALL = 0.75, 8, 1e-3, 60, 8, 18.47, 100_000
+FLOORS = (0.08, 0.05, 0.15, 0.15)
 STATS = ("x1", "x2", "x3", "x4")
 #: The median of the squared distance of four normal variables.
 MEDIAN_4 = 3.3567
@@ -102,30 +104,56 @@ def factored(moments: DataFrame, keep: list[str], p: int = 4) -> DataFrame:
     return out.select(*keep, *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table with a row for each group, broadcast once counted, so that no group's rows meet in one task."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(STATS)]
+    products = [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i in range(4) for j in range(i + 1)]
+    return factored(rows.groupBy(*by).agg(F.count("*").alias("n"), *sums, *products), by)
+
+
+def volume() -> Column:
+    """The log of the determinant, from the factor's diagonal."""
+    return sum((2 * F.log(f"l{i}{i}") for i in range(1, 4)), 2 * F.log("l00"))
+
+
 def estimates(rows: DataFrame) -> DataFrame:
     """Per `g`: centre, Cholesky factor and scale of the minimum covariance determinant; rows have g, x1 to x4.
 
-    The start is each statistic's median and absolute deviation; then STEPS times the share KEEP of a group's rows
-    with the smallest distances gives the next estimate. Quantiles are sketches of bounded size.
+    Three starts: medians and absolute deviations; means and covariances of all rows; those of the rows of one half by
+    hash. From each, concentration steps go on until no determinant falls any more: the share KEEP of a group's rows with
+    the smallest distances gives the next estimate. The least determinant counts. Quantiles are sketches of bounded size.
     """
     near = lambda c, q: F.percentile_approx(c, q, 2000)
-    middle = rows.groupBy("g").agg(*[near(x, 0.5).alias(f"m{i}") for i, x in enumerate(STATS)])
-    spread = rows.join(middle, "g").groupBy("g").agg(*[near(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, x in enumerate(STATS)])
-    now = middle.join(spread, "g").select(
-        "g", *[f"m{i}" for i in range(4)],
+    middle = written(rows.groupBy("g").agg(*[near(x, 0.5).alias(f"m{i}") for i, x in enumerate(STATS)]))
+    spread = rows.join(small(middle), "g").groupBy("g").agg(*[near(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, x in enumerate(STATS)])
+    first = middle.join(spread, "g").select(
+        "g", F.lit(0).alias("start"), *[f"m{i}" for i in range(4)],
         *[(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(4) for j in range(i + 1)],
     )
+    half = F.explode(F.when(F.pmod(F.xxhash64(*STATS), F.lit(2)) == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    now = first.unionByName(moments(rows.withColumn("start", half), ["g", "start"])).withColumn("volume", F.lit(None).cast("double"))
     for _ in range(STEPS):
         now = written(now)
-        far = rows.join(now, "g").select("g", *STATS, distance().alias("d"))
-        bound = written(far.groupBy("g").agg(near("d", KEEP).alias("most")))
-        core = far.join(bound, "g").filter("d <= most")
-        sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(STATS)]
-        products = [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i in range(4) for j in range(i + 1)]
-        now = factored(core.groupBy("g").agg(F.count("*").alias("n"), *sums, *products), ["g"])
-    now = written(now)
-    scale = rows.join(now, "g").groupBy("g").agg(F.greatest(near(distance(), 0.5) / MEDIAN_4, F.lit(1.0)).alias("scale"), F.count("*").alias("n"))
-    return now.join(scale, "g")
+        known = now.withColumnRenamed("volume", "before")
+        far = rows.join(small(known), "g").select("g", "start", *STATS, distance().alias("d"))
+        bound = written(far.groupBy("g", "start").agg(near("d", KEEP).alias("most")))
+        core = far.join(small(bound), ["g", "start"]).filter("d <= most")
+        after = moments(core, ["g", "start"]).withColumn("volume", volume())
+        # a start's estimate stays once its determinant falls no more
+        after = after.join(known.select("g", "start", "before"), ["g", "start"])
+        now = written(after)
+        moved = now.filter(F.col("before").isNull() | (F.col("volume") < F.col("before") - EPS)).limit(1).count()
+        now = now.drop("before")
+        if not moved:
+            break
+    best = now.groupBy("g").agg(F.min_by(F.struct(*[c for c in now.columns if c not in ("g", "start")]), F.struct("volume", "start")).alias("e")).select("g", "e.*").drop("volume")
+    best = written(best)
+    scale = rows.join(small(best), "g").groupBy("g").agg(F.greatest(near(distance(), 0.5) / MEDIAN_4, F.lit(1.0)).alias("scale"), F.count("*").alias("n"))
+    return best.join(scale, "g")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -147,9 +175,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     )
     named = written(named)
     same = (F.col("__lang") == F.col("__a")) & (F.col("__source") == F.col("__b"))
-    grouped = sound.join(named, same).select("g", *STATS)
+    grouped = sound.join(small(named), same).select("g", *STATS)
     found = written(estimates(grouped))
-    far = rows.join(named, same, "left").join(found.filter(F.col("n") >= ANY), "g", "left").withColumn("distance", distance() / F.col("scale"))
+    known = written(named.join(found.filter(F.col("n") >= ANY), "g", "left"))
+    far = rows.join(small(known), same, "left").withColumn("distance", distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return far.select(F.col("__key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
