@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marlstone.llm.common import table
 from marlstone.llm.jaccard import op10_ngram_jaccard_join
 from marlstone.llm.language import op6_language_id
 from marlstone.llm.licenses import op5_license_scans
@@ -13,7 +14,7 @@ from marlstone.llm.pages import op2_html_extraction
 from marlstone.llm.quality_classifier import op8_quality_classifier
 from marlstone.llm.quality_rules import op3_quality_rules
 from marlstone.llm.secrets import op1_secret_scans
-
+__all__ = ["ORACLE", "QUERIES", "table"]
 
 
 def pipeline(spark, sf_dir):

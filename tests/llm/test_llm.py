@@ -119,6 +119,41 @@ def test_outliers_go(spark):
     assert all(k == bool(i % 10) for i, k in got.items())
 
 
+def test_outliers_in_each_statistic_alone(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    text = lambda: [word() for _ in range(rng.randrange(80, 200))]
+    rows = [(i, " ".join(text()), "en", "a", 0) for i in range(300)]
+    odd_ = {
+        1000: " ".join(w * 6 for w in text()), 1001: " ".join(w + "#" * (i % 2) for i, w in enumerate(text())),
+        1002: "\n".join([" ".join(text()), *["same words"] * 30]), 1003: " ".join([word() for _ in range(140)] + "one two three".split() * 42),
+    }
+    got = {r.doc_id: r for r in quality_rules.judge(odd(spark, rows + [(k, t, "en", "a", 0) for k, t in odd_.items()])).collect()}
+    assert not any(got[k].kept or got[k].base_failed for k in odd_)
+    assert sum(not got[i].kept for i in range(300)) <= 6
+
+
+def test_covariance_determinant_against_brute_force(spark):
+    """The least determinant that plain numpy finds from many random starts isn't much below the operator's."""
+    rng = np.random.default_rng(8)
+    clean, bad = rng.normal(size=(400, 4)) * [1, 2, 0.5, 1], rng.normal(size=(80, 4)) * 0.3 + [6, 6, 4, 4]
+    x = np.concatenate([clean, bad])
+    got = quality_rules.estimates(spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, x1 double, x2 double, x3 double, x4 double")).first()
+    least, h = np.inf, int(0.75 * len(x))
+    for _ in range(50):
+        core = x[rng.choice(len(x), 12, replace=False)]
+        for _ in range(20):
+            m, c = core.mean(axis=0), np.cov(core.T, bias=True) + np.diag(np.array(quality_rules.FLOORS) ** 2)
+            core = x[np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m))[:h]]
+        least = min(least, np.linalg.slogdet(c)[1])
+    assert 2 * sum(np.log(got[f"l{i}{i}"]) for i in range(4)) < least + 0.05
+    assert np.abs(np.array([got[f"m{i}"] for i in range(4)]) - clean.mean(axis=0)).max() < 0.3
+
+
+def test_a_png_without_header_is_no_image():
+    assert media.decoded(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\0IEND\0\0\0\0") is None
+
+
 def test_targets():
     got = mixing.targets({"a": 10, "b": 100, "c": 100, None: 0})
     assert got["a"] == 20 and got[None] == 0 and abs(sum(got.values()) - 315) < 1e-9 and abs(got["c"] - 2 * got["b"]) < 1e-6 or got["c"] == 200
@@ -190,6 +225,18 @@ def test_packing_round_trip(spark):
         assert end <= packing.CAPACITY
 
 
+def test_the_program_runs_on_small_tables(monkeypatch):
+    ran, own = [], packing.fractional
+    monkeypatch.setattr(packing, "fractional", lambda *a: ran.append(1) or own(*a))
+    rng = random.Random(6)
+    for n in (1, 7, 300):
+        lengths = [rng.randrange(1, 4097) for _ in range(n)]
+        out, bound = packing.bounded_plan({k: lengths.count(k) for k in lengths})
+        used = max(o[3] + o[4] for o in out)
+        assert bound <= used <= bound + 1 + n // 20
+    assert ran
+
+
 def test_ids_equal_the_tokenizer_across_generations(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 12)
     ids, rng = packing.Ids(packing.tokenizer_path()), random.Random(4)
@@ -221,8 +268,7 @@ def test_plan_places_everything_tightly(lengths):
 
 
 @pytest.mark.parametrize("lengths", [[1] * 25_000, [5] * 25_000, [273] * 25_000, [1] * 15_000 + [5] * 15_000, list(np.random.default_rng(3).integers(1, 41, 30_000))])
-def test_plan_wastes_no_room_above_the_tail(lengths):
-    assert len(lengths) > packing.TAIL
+def test_plan_wastes_no_room_on_short_lengths(lengths):
     test_plan_places_everything_tightly(lengths)
     rows = packing.plan({int(k): lengths.count(k) for k in set(lengths)})
     least = -(-len(lengths) // (packing.CAPACITY // lengths[0])) if len(set(lengths)) == 1 else -(-sum(map(int, lengths)) // packing.CAPACITY)
@@ -290,10 +336,68 @@ def test_one_of_each(spark):
     assert sorted(got) == [1, 2, 3, 4, 5, 7]
 
 
+NOTICES = {
+    "Apache-2.0": """Copyright 2020 A
+
+Licensed under the Apache License,
+Version 2.0 (the "License"); you may not use this file except
+in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice.
+2. Redistributions in binary form must
+   reproduce the above copyright notice.
+3. Neither the name of the holder nor the names of its
+   contributors may be used to endorse or promote products derived from it.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.""",
+    "Apache-2.0,MIT": "Licensed under the Apache License, Version 2.0\nReleased under the MIT license",
+    "": "Neither the name of x",
+}
+
+
 def test_licenses(spark):
-    rows = [(1, "x.\nLicensed under the Apache License, Version 2.0.\ny", "", "", 0), (2, "Redistribution and use in source and binary forms, are permitted. Redistributions of source code must retain this. Redistributions in binary form must reproduce it. Neither the name of x.", "", "", 0), (3, None, "", "", 0), (4, "Neither the name of x", "", "", 0)]
-    got = {r.doc_id: (r.licenses, r.n_licenses) for r in licenses.find_licenses(odd(spark, rows)).collect()}
-    assert got == {1: ("Apache-2.0", 1), 2: ("BSD-3-Clause", 1), 3: ("", 0), 4: ("", 0)}
+    texts = [(want, text) for want, text in NOTICES.items()]
+    texts += [(want, "\n".join(f" {mark} {line}".rstrip() for line in text.split("\n"))) for mark in "*#;" for want, text in NOTICES.items()]
+    rows = [(i, f"before\n\n{t}\n\nafter", "", "", 0) for i, (_, t) in enumerate(texts)] + [(-1, None, "", "", 0), (-2, "", "", "", 0)]
+    got = {r.doc_id: r.licenses for r in licenses.find_licenses(odd(spark, rows)).collect()}
+    assert got == {**{i: want for i, (want, _) in enumerate(texts)}, -1: "", -2: ""}
+
+
+@here
+def test_license_sql(spark):
+    import duckdb
+
+    base = duckdb.sql(f"SELECT * FROM '{SF}/documents.parquet'").df()
+    own = spark.createDataFrame([(10**6 + i, t, "en", "a", 0) for i, t in enumerate(NOTICES.values())], "doc_id long, text string, lang string, source string, n_chars long").toPandas()
+    import pandas
+
+    documents = pandas.concat([base, own])  # noqa: F841
+    want = duckdb.sql(licenses.sql()).fetchall()
+    docs = registry.table(spark, SF, "documents").unionByName(spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long"))
+    got = [tuple(r) for r in licenses.find_licenses(docs).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def pgm(a: np.ndarray) -> bytes:
