@@ -28,22 +28,28 @@ def points(base: Column, ratio: Column) -> Column:
 
 def severity(findings: DataFrame, types: DataFrame, defaults: DataFrame) -> DataFrame:
     """The type's own severity, else its category's; an unknown category is an error when the row is read."""
-    joined = findings.join(F.broadcast(types), "issue_type", "left").join(F.broadcast(defaults), "category", "left")
+    joined = findings.join(types, "issue_type", "left").join(defaults, "category", "left")
     known = F.coalesce("type_severity", "category_severity", F.raise_error(F.concat(F.lit("unknown category "), F.coalesce(F.col("category").cast("string"), F.lit("null")))))
     base = F.create_map(*[x for k, v in POINTS.items() for x in (F.lit(k), F.lit(v))])
     return joined.withColumn("severity", known).withColumn("base_points", base[F.col("severity")]).drop("type_severity", "category_severity")
 
 
-def merge_rounds(findings: DataFrame, rounds: DataFrame, expected: int = 3) -> DataFrame:
+def merge_rounds(findings: DataFrame, rounds: DataFrame, expected: int | None = 3) -> DataFrame:
     """One row per case and issue: greatest ratio, greatest base points with their severity, the rounds that support it.
 
-    Findings of gated rounds count for nothing. Every case must have `expected` rounds.
+    Findings of gated rounds count for nothing. A case with other than `expected` rounds is an error when it is read; None
+    takes any number. `observations` are the distinct ones of a finding (round, ratio).
     """
+    if expected is not None:
+        n = rounds.groupBy(*KEYS).agg(F.count("*").alias("__n"))
+        said = F.concat(F.lit(f"not {expected} rounds: "), F.concat_ws("/", *[F.col(k).cast("string") for k in KEYS]))
+        rounds = rounds.join(n, KEYS).filter(F.when(F.col("__n") == expected, True).otherwise(F.raise_error(said).cast("boolean"))).drop("__n")
     open_rounds = rounds.filter(~F.coalesce("gated", F.lit(False))).select(*KEYS, "round")
     live = findings.join(open_rounds, [*KEYS, "round"], "left_semi")
     merged = live.groupBy(*KEYS, *ISSUE).agg(
         F.max("affected_ratio").alias("affected_ratio"), F.max("base_points").alias("base_points"),
         F.max_by("severity", "base_points").alias("severity"), F.sort_array(F.collect_set("round")).alias("round_ids"),
+        F.sort_array(F.collect_set(F.struct("round", "affected_ratio"))).alias("observations"),
     )
     return merged.withColumn("round_support", F.size("round_ids").cast("long")).withColumn("points_lost", points(F.col("base_points"), F.col("affected_ratio")))
 

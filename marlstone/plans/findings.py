@@ -15,7 +15,7 @@ DEFAULTS = [("F", "low"), ("O", "medium")]
 FINDINGS = """findings AS (
   SELECT CAST(l_orderkey % 100 AS BIGINT) AS task_id, CAST(l_suppkey % 12 AS BIGINT) AS candidate_id, l_linenumber % 3 AS round,
     CASE l_returnflag WHEN 'A' THEN 'layout' WHEN 'N' THEN 'text' ELSE 'graphics' END AS dimension, l_linestatus AS category, l_partkey % 7 AS issue_type,
-    CAST(round(l_discount * 100) AS INT) / 20.0 AS affected_ratio FROM lineitem WHERE l_partkey % 5 = 0),
+    CAST(round(l_discount * 100) AS INT) / 20.0 AS affected_ratio FROM lineitem),
 rounds AS (SELECT task_id, candidate_id, round, CAST(count(*) AS BIGINT) % 4 = 0 AS gated FROM findings GROUP BY ALL),
 rated AS (SELECT *, CASE WHEN issue_type = 0 THEN 'diagnostic' WHEN issue_type IN (1, 2) THEN 'high' WHEN issue_type IN (3, 4) THEN 'medium' WHEN category = 'F' THEN 'low' ELSE 'medium' END AS severity FROM findings),
 based AS (SELECT *, CASE severity WHEN 'diagnostic' THEN 0.0 WHEN 'low' THEN 0.5 WHEN 'medium' THEN 1.5 ELSE 3.0 END AS base_points FROM rated)"""
@@ -44,7 +44,7 @@ board AS (SELECT candidate_id, count(*) AS task_count, count(*) FILTER (majority
 def findings(t: Tables) -> DataFrame:
     k = F.round(F.col("l_discount") * 100).cast("int")
     dimension = F.when(F.col("l_returnflag") == "A", "layout").when(F.col("l_returnflag") == "N", "text").otherwise("graphics")
-    return t.lineitem.filter("l_partkey % 5 = 0").select(
+    return t.lineitem.select(
         (F.col("l_orderkey") % 100).alias("task_id"), (F.col("l_suppkey") % 12).alias("candidate_id"), (F.col("l_linenumber") % 3).alias("round"),
         dimension.alias("dimension"), F.col("l_linestatus").alias("category"), (F.col("l_partkey") % 7).alias("issue_type"), (k / F.lit(20.0)).alias("affected_ratio"),
     )
@@ -62,7 +62,7 @@ def rated(found: DataFrame) -> DataFrame:
 def issues_and_cases(t: Tables) -> tuple[DataFrame, DataFrame]:
     found = findings(t)
     per_round = rounds(found)
-    issues = C.merge_rounds(rated(found), per_round)
+    issues = C.merge_rounds(rated(found), per_round, None)
     return issues, C.scores(issues, per_round)
 
 
@@ -75,7 +75,7 @@ def findings_rank_rounds(t: Tables) -> DataFrame:
 @query(f"WITH {ISSUES} SELECT task_id, candidate_id, dimension, category, issue_type, affected_ratio::DOUBLE AS affected_ratio, base_points::DOUBLE AS base_points, severity, array_to_string(round_ids, ',') AS rounds, round_support, points_lost FROM issues")
 def consensus_cases(t: Tables) -> DataFrame:
     issues, _ = issues_and_cases(t)
-    return issues.withColumn("rounds", F.array_join(F.transform("round_ids", lambda x: x.cast("string")), ",")).drop("round_ids")
+    return issues.withColumn("rounds", F.array_join(F.transform("round_ids", lambda x: x.cast("string")), ",")).drop("round_ids", "observations")
 
 
 @query(f"WITH {CASES} SELECT * FROM scored")
@@ -115,27 +115,53 @@ def adjacent_pairs(t: Tables) -> DataFrame:
     return out.filter("lower_model IS NOT NULL")
 
 
-DRAWS = "draws AS (SELECT i AS iteration, d AS draw, (i * 7919 + d * 104729 + i * d * 31) % 100 AS position FROM range(60) a(i), range(100) b(d))"
-MEANS = f"{CASES}, {DRAWS}, means AS (SELECT iteration, candidate_id AS model, avg(total_score) AS mean FROM draws JOIN scored ON task_id = position GROUP BY ALL)"
+#: Sizes of a resample and resamples of each size.
+SIZES, RESAMPLES = (50, 100, 200, 300, 400, 500), 2000
+DRAWS = f"""draws AS (SELECT z, i, ('0x' || substr(md5(z || '/' || i || '/' || d), 1, 8))::BIGINT % 100 AS position, count(*) AS n
+  FROM unnest([{", ".join(map(str, SIZES))}]) s(z), range({RESAMPLES}) a(i), range({max(SIZES)}) b(d) WHERE d < z GROUP BY ALL)"""
+MEANS = f"""{CASES}, {DRAWS}, means AS (SELECT z, i, candidate_id AS model, sum(n * CAST(total_score AS DECIMAL(18,6)))::DOUBLE / z AS mean FROM draws JOIN scored ON task_id = position GROUP BY z, i, candidate_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY z, i ORDER BY round(mean, 6) DESC, model) AS rank FROM means)"""
+CUT = lambda x: f"floor({x} * 10000 + 0.001) / 10000"
 
 
 def drawn(t: Tables) -> DataFrame:
-    spark = t.region.sparkSession
-    i, d = F.col("iteration"), F.col("draw")
-    draws = spark.range(60).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))).alias("draw")).withColumn("position", (i * 7919 + d * 104729 + i * d * 31) % 100)
+    """Mean score of each model over each resample; positions are drawn with replacement, by a hash of size, resample and draw."""
+    draws = S.hashed_draws(t.region.sparkSession, 100, SIZES, RESAMPLES)
     scores = issues_and_cases(t)[1].select(F.col("task_id").alias("position"), F.col("candidate_id").alias("model"), F.col("total_score").alias("score"))
-    return S.bootstrap_means(draws, scores, ["iteration"])
+    return S.bootstrap_means(draws, scores)
 
 
-@query(f"WITH {MEANS} SELECT model, floor(avg(mean) * 10000 + 0.001) / 10000 AS center, floor(quantile_cont(mean, 0.025) * 10000 + 0.001) / 10000 AS ci_low, floor(quantile_cont(mean, 0.975) * 10000 + 0.001) / 10000 AS ci_high FROM means GROUP BY 1")
+@query(f"""WITH {MEANS} SELECT z AS sample_size, model, {CUT("avg(mean)")} AS center, {CUT("quantile_cont(mean, 0.025)")} AS ci_low, {CUT("quantile_cont(mean, 0.975)")} AS ci_high,
+ {CUT("quantile_cont(mean, 0.05)")} AS low_90, {CUT("quantile_cont(mean, 0.95)")} AS high_90 FROM means GROUP BY ALL""")
 def bootstrap_ci(t: Tables) -> DataFrame:
-    return S.intervals(drawn(t), ["model"])
+    return S.intervals(drawn(t), ["sample_size", "model"])
 
 
-@query(f"WITH {MEANS}, r AS (SELECT *, row_number() OVER (PARTITION BY iteration ORDER BY round(mean, 6) DESC, model) AS rank FROM means) SELECT model, round(avg(CAST(rank <= 3 AS INT)), 6) AS top3_probability FROM r GROUP BY 1")
+@query(f"WITH {MEANS} SELECT z AS sample_size, model, round(avg(CAST(rank <= 3 AS INT)), 6) AS top3_probability FROM r GROUP BY ALL")
 def top3_probability(t: Tables) -> DataFrame:
-    ranked = S.ranked(drawn(t).withColumn("mean", F.round("mean", 6)), ["iteration"])
-    return ranked.groupBy("model").agg(F.round(F.avg((F.col("rank") <= 3).cast("double")), 6).alias("top3_probability"))
+    ranked = S.ranked(drawn(t).withColumn("mean", F.round("mean", 6)), ["sample_size", "iteration"])
+    return ranked.groupBy("sample_size", "model").agg(F.round(F.avg((F.col("rank") <= 3).cast("double")), 6).alias("top3_probability"))
+
+
+@query(f"""WITH {MEANS}, f AS (SELECT candidate_id AS model, round(avg(total_score), 6) AS mean FROM scored GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY mean DESC, model) AS k FROM f),
+top AS (SELECT z, i, list_sort(list(model)) AS s FROM r WHERE rank <= 3 GROUP BY ALL)
+SELECT z AS sample_size, round(avg(CAST(s = (SELECT list_sort(list(model)) FROM o WHERE k <= 3) AS INT)), 6) AS same_top3 FROM top GROUP BY 1""")
+def top3_set_stability(t: Tables) -> DataFrame:
+    """How often a resample's three best models are the full data's."""
+    means = S.ranked(drawn(t).withColumn("mean", F.round("mean", 6)), ["sample_size", "iteration"])
+    full = C.leaderboard(issues_and_cases(t)[1]).filter("rank <= 3").agg(F.sort_array(F.collect_list("candidate_id")).alias("best"))
+    sets = means.filter("rank <= 3").groupBy("sample_size", "iteration").agg(F.sort_array(F.collect_list("model")).alias("s"))
+    return sets.crossJoin(F.broadcast(full)).groupBy("sample_size").agg(F.round(F.avg((F.col("s") == F.col("best")).cast("double")), 6).alias("same_top3"))
+
+
+@query(f"""WITH {MEANS}, f AS (SELECT candidate_id AS model, round(avg(total_score), 6) AS mean FROM scored GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY mean DESC, model) AS k FROM f),
+d AS (SELECT u.z, u.i, a.model AS upper_model, b.model AS lower_model, a.mean - b.mean AS gap, u.mean - l.mean AS diff FROM o a JOIN o b ON b.k = a.k + 1 JOIN means u ON u.model = a.model JOIN means l ON l.model = b.model AND l.z = u.z AND l.i = u.i)
+SELECT z AS sample_size, upper_model, lower_model, round(any_value(gap), 6) AS full_gap, {CUT("quantile_cont(diff, 0.025)")} AS difference_ci_low, {CUT("quantile_cont(diff, 0.975)")} AS difference_ci_high,
+ {CUT("quantile_cont(diff, 0.025)")} > 0 OR {CUT("quantile_cont(diff, 0.975)")} < 0 AS significant_95pct, round(avg(CAST(round(diff, 6) < 0 AS INT)), 6) AS rank_flip_probability FROM d GROUP BY z, upper_model, lower_model""")
+def pair_differences(t: Tables) -> DataFrame:
+    """Models next to each other in the full ranking: interval of the difference, its significance, how often they change places."""
+    board = C.leaderboard(issues_and_cases(t)[1]).select("rank", F.col("candidate_id").alias("model"), F.col("mean_final_score").alias("mean"))
+    return S.adjacent_differences(drawn(t), board)
 
 
 @query("""WITH s AS (SELECT CAST(l_suppkey % 12 AS BIGINT) AS m, l_linenumber AS g, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS e FROM lineitem GROUP BY ALL)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
@@ -78,25 +78,36 @@ def license_classify(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.license_family(F.col("text")).alias("family"), X.license_family(F.col("text"), 2).alias("status"))
 
 
-@query(f"SELECT family, status, count(*) AS n, count(DISTINCT source) AS sources, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM (SELECT doc_id, source, {FAMILY} AS family, {STATUS} AS status FROM documents) WHERE family <> 'unknown' GROUP BY ALL")
+@query(f"SELECT family, status, count(*) AS n, count(DISTINCT source) AS sources, min(doc_id) AS first_id, bool_and(n_chars > 0) AS all_with_text FROM (SELECT doc_id, source, n_chars, {FAMILY} AS family, {STATUS} AS status FROM documents) WHERE family <> 'unknown' GROUP BY ALL")
 def license_summary(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "source", X.license_family(F.col("text")).alias("family"), X.license_family(F.col("text"), 2).alias("status")).filter("family <> 'unknown'")
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return rows.groupBy("family", "status").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"), ids.alias("ids"))
+    rows = t.documents.select("doc_id", "source", "n_chars", X.license_family(F.col("text")).alias("family"), X.license_family(F.col("text"), 2).alias("status")).filter("family <> 'unknown'")
+    return rows.groupBy("family", "status").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first_id"), F.bool_and(F.col("n_chars") > 0).alias("all_with_text"))
 
 
-@query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE n_chars < 3000), b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark),
+@query(f"SELECT family, status, doc_id, row_number() OVER (PARTITION BY family, status ORDER BY doc_id) AS position FROM (SELECT doc_id, {FAMILY} AS family, {STATUS} AS status FROM documents) WHERE family <> 'unknown'")
+def license_ids(t: Tables) -> DataFrame:
+    """The ids of each family, a row for each, so that no family is one value."""
+    rows = t.documents.select("doc_id", X.license_family(F.col("text")).alias("family"), X.license_family(F.col("text"), 2).alias("status")).filter("family <> 'unknown'")
+    return rows.select("family", "status", "doc_id", F.row_number().over(Window.partitionBy("family", "status").orderBy("doc_id")).cast("long").alias("position"))
+
+
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark),
 dt AS (SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, unnest(w) AS k FROM d) GROUP BY ALL), bt AS (SELECT item_id, k, count(*) AS n FROM (SELECT item_id, unnest(w) AS k FROM b) GROUP BY ALL),
-x AS (SELECT doc_id, item_id, sum(least(dt.n, bt.n)) AS m FROM dt JOIN bt USING (k) WHERE length(k) >= 8 GROUP BY ALL)
-SELECT doc_id, item_id, CAST(m AS BIGINT) AS shared, round(2 * m / (len(d.w) + len(b.w)), 6) AS f1 FROM x JOIN d USING (doc_id) JOIN b USING (item_id) WHERE m >= 3""")
+x AS (SELECT doc_id, item_id FROM dt JOIN bt USING (k) WHERE length(k) >= 10 GROUP BY ALL HAVING sum(least(dt.n, bt.n)) >= 3),
+y AS (SELECT doc_id, item_id, CAST(sum(least(dt.n, bt.n)) AS BIGINT) AS m FROM x JOIN bt USING (item_id) JOIN dt USING (doc_id, k) GROUP BY ALL)
+SELECT doc_id, item_id, m AS shared, round(2 * m / (len(d.w) + len(b.w)), 6) AS f1 FROM y JOIN d USING (doc_id) JOIN b USING (item_id)""")
 def token_f1(t: Tables) -> DataFrame:
-    """Multiset overlap of long words of documents and benchmark items, over the words of both."""
-    d = t.documents.filter("n_chars < 3000").select("doc_id", X.tokens(F.col("text")).alias("w"))
-    b = t.benchmark.select("item_id", X.tokens(F.col("text")).alias("w"))
-    count = lambda df, k: df.select(k, F.explode("w").alias("k")).filter(F.length("k") >= 8).groupBy(k, "k").agg(F.count("*").alias(f"n_{k}"))
-    shared = count(d, "doc_id").join(count(b, "item_id"), "k").groupBy("doc_id", "item_id").agg(F.sum(F.least("n_doc_id", "n_item_id")).alias("shared")).filter("shared >= 3")
-    sizes = shared.join(d.select("doc_id", F.size("w").alias("x")), "doc_id").join(b.select("item_id", F.size("w").alias("y")), "item_id")
-    return sizes.select("doc_id", "item_id", "shared", F.round(2 * F.col("shared") / (F.col("x") + F.col("y")), 6).alias("f1"))
+    """Multiset F1 over all tokens of documents and benchmark items that share three long words or more.
+
+    Long words, which are rare, only find the pairs; the overlap of these is over all tokens.
+    """
+    d, b = (df.select(k, F.explode(X.tokens(F.col("text"))).alias("k")).groupBy(k, "k").agg(F.count("*").alias("n")) for df, k in ((t.documents, "doc_id"), (t.benchmark, "item_id")))
+    sizes = [df.groupBy(k).agg(F.sum("n").alias(f"size_{k}")) for df, k in ((d, "doc_id"), (b, "item_id"))]
+    d, b = d.withColumnRenamed("n", "x"), b.withColumnRenamed("n", "y")
+    long = F.length("k") >= 10
+    pairs = d.filter(long).join(b.filter(long), "k").groupBy("doc_id", "item_id").agg(F.sum(F.least("x", "y")).alias("s")).filter("s >= 3").drop("s")
+    shared = pairs.join(b, "item_id").join(d, ["doc_id", "k"]).groupBy("doc_id", "item_id").agg(F.sum(F.least("x", "y")).alias("shared"))
+    return shared.join(sizes[0], "doc_id").join(sizes[1], "item_id").select("doc_id", "item_id", "shared", F.round(2 * F.col("shared") / (F.col("size_doc_id") + F.col("size_item_id")), 6).alias("f1"))
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey LIMIT 50 OFFSET 20")
@@ -126,7 +137,8 @@ e AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embeddin
 SELECT vec_id, round(sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m))), 4) AS cosine FROM e JOIN c USING (label, i) GROUP BY 1""")
 def label_centroid(t: Tables) -> DataFrame:
     """Cosine of each vector with the mean of its label."""
-    rows = t.embeddings.select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    means = rows.groupBy("label", "i").agg(F.avg("v").alias("m"))
-    s = lambda a, b: F.sum(F.col(a) * F.col(b))
-    return rows.join(means, ["label", "i"]).groupBy("vec_id").agg(F.round(s("v", "m") / (F.sqrt(s("v", "v")) * F.sqrt(s("m", "m"))), 4).alias("cosine"))
+    rows = t.embeddings.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    means = rows.select("label", F.posexplode("e").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
+    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("c"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return rows.join(means, "label").select("vec_id", F.round(dot("e", "c") / (F.sqrt(dot("e", "e")) * F.sqrt(dot("c", "c"))), 4).alias("cosine"))

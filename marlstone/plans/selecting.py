@@ -37,7 +37,10 @@ def ordered_distinct(t: Tables) -> DataFrame:
 
 @query("SELECT trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS caption, count(*) AS n, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def semantic_signature(t: Tables) -> DataFrame:
-    return t.documents.groupBy(X.caption(F.col("text")).alias("caption")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    rows = t.documents.select("doc_id", X.caption(F.col("text")).alias("caption")).withColumn("h", F.sha2("caption", 256))
+    # fingerprints are shuffled, not texts; the first document of each gives its caption
+    first = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    return first.join(rows.select("doc_id", "h", "caption"), ["doc_id", "h"]).dropDuplicates(["h"]).select("caption", "n", "doc_id")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
@@ -75,11 +78,15 @@ def hamming_pairs(t: Tables) -> DataFrame:
     return D.hamming_pairs(sign_bits(t), "vec_id", "h", 18)
 
 
-@query()
+@query(f"""WITH RECURSIVE {BITS}, o AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS k FROM bits),
+r(k, kept, ids) AS (SELECT 0::BIGINT, []::HUGEINT[], []::BIGINT[] UNION ALL
+  SELECT o.k, CASE WHEN len(list_filter(kept, lambda x: bit_count(xor(x, h)) <= 16)) = 0 THEN list_append(kept, h) ELSE kept END,
+    CASE WHEN len(list_filter(kept, lambda x: bit_count(xor(x, h)) <= 16)) = 0 THEN list_append(ids, vec_id) ELSE ids END FROM r JOIN o ON o.k = r.k + 1)
+SELECT unnest(ids) AS vec_id FROM (SELECT ids FROM r ORDER BY k DESC LIMIT 1)""")
 def greedy_dedupe(t: Tables) -> DataFrame:
     """Vectors kept by a pass in the order of their ids that drops what is within 16 bits of a kept one."""
     bits = sign_bits(t)
-    return D.greedy_keep(bits, D.hamming_pairs(bits, "vec_id", "h", 16), "vec_id", ["vec_id"])
+    return D.greedy_keep(bits, D.hamming_pairs(bits, "vec_id", "h", 16), "vec_id", ["vec_id"]).select("vec_id")
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars < 200 THEN 'short' WHEN contains(text, '!!') THEN 'shouting' WHEN contains(text, ' | ') THEN 'table' WHEN NOT regexp_matches(lower(text), '(the|der|les|que)') THEN 'no keyword' END AS reason FROM documents""")

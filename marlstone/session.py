@@ -28,11 +28,13 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one is made only where none is set."""
+    """The shared folder named by spark.checkpoint.dir; on a local master, where none is set, a temporary one."""
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlstone-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
