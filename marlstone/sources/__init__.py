@@ -1 +1 @@
-
+"""Readers, writers and archives."""

@@ -1 +1 @@
-
+"""Structured Streaming: windows, state, replays, corrected rows."""
