@@ -374,11 +374,20 @@ def linked(left: Tree, right: Tree, sids: tuple, groups: Groups, sets: tuple | N
     return out
 
 
+def little(df: DataFrame) -> DataFrame:
+    """`df`, written; broadcast if it was counted to have SMALL rows at most, so that what it joins needs no shuffle of its own."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def one_row_each(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(sid, __of): the least key of each set of `members`."""
+    return rows.select("sid", "__id").join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("__id").alias("__of"))
+
+
 def held_sets(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
     """(sid, s): the shingles of each set of `members`, from one document of each."""
-    ids = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("__id").alias("__of"))
-    ids = written(ids.join(members.select("sid"), "sid", "left_semi").select("__of").distinct())
-    ids = F.broadcast(ids) if ids.count() <= SMALL else ids
+    ids = little(one_row_each(rows, members).select("__of").distinct())
 
     def make():
         of = Shingles()
@@ -408,7 +417,7 @@ def dealt(members: DataFrame, per: DataFrame) -> DataFrame:
     sums = per.agg(F.sum(F.when(F.col("w") <= BLOCK, F.col("w")))).first()[0] or 0
     groups = 1 << max(4, (sums // TOGETHER).bit_length())
     small = per.filter(F.col("w") <= BLOCK).select("g", F.pmod(F.xxhash64(F.when(F.col("lo_w") <= TOGETHER, F.col("lo")).otherwise(F.col("g"))), F.lit(groups)).alias("k"))
-    little = members.join(small, "g").select("k", zero.alias("p"), zero.alias("q"), "g", "sid", zero.alias("part"))
+    under = members.join(small, "g").select("k", zero.alias("p"), zero.alias("q"), "g", "sid", zero.alias("part"))
     large = members.join(per.filter(F.col("w") > BLOCK).select("g"), "g").withColumn("bin", size_bin())
     # a block's number: its bin, then its place in the bin
     sizes = large.groupBy("g", "bin").agg(F.ceil(F.sum("n") / (BLOCK // 2)).alias("n_of"))
@@ -418,7 +427,7 @@ def dealt(members: DataFrame, per: DataFrame) -> DataFrame:
     big = large.join(meets, ["g", "bin"]).withColumn("part", block(F.col("bin"), F.pmod(F.xxhash64("sid"), F.col("n_of"))))
     big = big.withColumn("o", F.explode("others")).withColumn("o", F.explode(F.transform(F.sequence(zero, F.col("o.of") - 1), lambda i: block(F.col("o.other"), i))))
     big = big.select(F.col("g").alias("k"), F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "g", "sid", "part")
-    return written(little.unionByName(big))
+    return written(under.unionByName(big))
 
 
 def met_under(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -447,7 +456,7 @@ def traversals(met: DataFrame, what: DataFrame, name: str) -> DataFrame:
 
     A set's data is sent once a task. A task returns fewer pairs than it has sets.
     """
-    sent = met.select("k", "p", "q", "sid").distinct().join(what, "sid")
+    sent = what.join(little(met.select("k", "p", "q", "sid").distinct()), "sid")
     full = met.withColumn(name, F.lit(None).cast("binary")).unionByName(sent, allowMissingColumns=True)
 
     def traverse(t: pa.Table) -> pa.Table:
@@ -481,7 +490,8 @@ def connected(found: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     group. A second one, of a tree for each group, compares whole sets. So a set is sent whole once, unless its group is large.
     """
     members, per = met_under(found)
-    maps = rows.join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("bits").alias("bits"))
+    one = little(one_row_each(rows, members).withColumnRenamed("sid", "__sid"))
+    maps = rows.join(one, (F.col("sid") == F.col("__sid")) & F.col("__id").eqNullSafe(F.col("__of")), "left_semi").select("sid", "bits")
     groups = written(components(written(traversals(dealt(members, per), maps, "bits"))))
     sizes = rows.filter("sid IS NOT NULL").groupBy(F.col("sid").alias("v")).agg(F.min("n").alias("n"))
     members = written(groups.join(sizes, "v").select(F.col("c").alias("g"), F.col("v").alias("sid"), "n"))
