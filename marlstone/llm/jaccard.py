@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -385,16 +386,19 @@ def one_row_each(rows: DataFrame, members: DataFrame) -> DataFrame:
     return rows.select("sid", "__id").join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("__id").alias("__of"))
 
 
-def held_sets(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
-    """(sid, s): the shingles of each set of `members`, from one document of each."""
+def held_texts(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(sid, s): a compressed text of each set of `members`, from one document of each.
+
+    A text takes a fraction of the bytes of its shingles' hashes, which don't compress; who gets it makes its set again.
+    """
     ids = little(one_row_each(rows, members).select("__of").distinct())
 
     def make():
-        of = Shingles()
+        of, pack = Shingles(), zstandard.ZstdCompressor()
 
         def step(x: dict) -> dict:
             sets = [of(t) for t in x["__t"]]
-            return {"sid": [set_id(s) if len(s) else None for s in sets], "s": [s.tobytes() for s in sets]}
+            return {"sid": [set_id(s) if len(s) else None for s in sets], "s": [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in x["__t"]]}
 
         return step
 
@@ -452,7 +456,7 @@ def met_under(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def traversals(met: DataFrame, what: DataFrame, name: str) -> DataFrame:
-    """Pairs (a, b) that connect the sets of each task's groups: by bitmaps (`bits` of `what`) or by whole sets (`s`).
+    """Pairs (a, b) that connect the sets of each task's groups: by bitmaps (`bits` of `what`) or by whole sets (made of the texts `s`).
 
     A set's data is sent once a task. A task returns fewer pairs than it has sets.
     """
@@ -462,6 +466,9 @@ def traversals(met: DataFrame, what: DataFrame, name: str) -> DataFrame:
     def traverse(t: pa.Table) -> pa.Table:
         own = t.filter(pa.compute.is_valid(t.column(name)))
         of = dict(zip(own.column("sid").to_pylist(), own.column(name).to_pylist(), strict=True))
+        if name == "s":
+            make, unpack = Shingles(), zstandard.ZstdDecompressor()
+            of = {i: make(unpack.decompress(x).decode("utf-8", "surrogatepass")) for i, x in of.items()}
         rest = t.filter(pa.compute.is_null(t.column(name))).select(["g", "sid", "part"]).sort_by("g")
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
         g, sid, part = (rest.column(c).to_numpy() for c in ("g", "sid", "part"))
@@ -471,7 +478,7 @@ def traversals(met: DataFrame, what: DataFrame, name: str) -> DataFrame:
             both = []
             for k in [p] if p == q else [p, q]:
                 sids = sid[a:z][part[a:z] == k].tolist()
-                sets = [np.frombuffer(of[x], dtype=np.uint64) for x in sids] if name == "s" else None
+                sets = [of[x] for x in sids] if name == "s" else None
                 both.append((Tree([of[x] for x in sids] if sets is None else [bitmap(x) for x in sets]) if sids else None, sids, sets))
             (x, xs, xv), (y, ys, yv) = both[0], both[-1]
             if x and y:
@@ -496,7 +503,7 @@ def connected(found: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     sizes = rows.filter("sid IS NOT NULL").groupBy(F.col("sid").alias("v")).agg(F.min("n").alias("n"))
     members = written(groups.join(sizes, "v").select(F.col("c").alias("g"), F.col("v").alias("sid"), "n"))
     per = members.groupBy("g").agg(F.sum("n").alias("w")).withColumn("lo", F.col("g"))
-    return traversals(dealt(members, per), held_sets(docs, rows, members), "s")
+    return traversals(dealt(members, per), held_texts(docs, rows, members), "s")
 
 
 def buckets_of(docs: DataFrame) -> int:
