@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 from math import exp
 from operator import eq
@@ -11,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import map_batches, table
+from marlstone.llm.common import give_back, map_batches, table
 
 #: Hash buckets, width of a vector, character n-gram lengths; epochs, rate; labelled rows learned from at most;
 #: words that a task remembers; score from which a document counts as good.
@@ -64,14 +65,15 @@ class Model:
         return score
 
 
-def bag(text: str | None, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def bag(text: str | None, known: dict[str, array]) -> tuple[np.ndarray, np.ndarray]:
+    """The text's features and the share of each; arrays, as lists of numbers would take most of the driver's memory."""
     words = text.split() if text else []
-    found: list[int] = [AGAIN] * sum(map(eq, words, words[1:]))
+    found = array("i", [AGAIN]) * sum(map(eq, words, words[1:]))
     for w in words:
         if w not in known:
-            known[w] = features(w)
+            known[w] = array("i", features(w))
         found += known[w]
-    ids, counts = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+    ids, counts = np.unique(np.frombuffer(found, dtype=np.intc), return_counts=True)
     return ids, (counts / max(1, counts.sum())).astype(np.float32)
 
 
@@ -81,8 +83,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((2, WIDTH), dtype=np.float32), np.array([np.log(1 - share), np.log(share)], dtype=np.float32)
-    known: dict[str, list[int]] = {}
+    known: dict[str, array] = {}
     bags = [(b, int(y)) for t, y in zip(texts, labels, strict=True) if len((b := bag(t, known))[0])]
+    known.clear()
     steps = max(EPOCHS * len(bags), LEAST_STEPS) if bags else 0
     for k in range(steps):
         if k % len(bags) == 0:
@@ -109,7 +112,10 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     some = spark.createDataFrame([tuple(r) for r in chosen], f"__id {docs.schema[key].dataType.simpleString()}, __y int")
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(some), "__id").collect()
     rows.sort(key=lambda r: (r["__id"], r["__y"], r["__t"] or ""))
-    return train([r["__t"] for r in rows], [r["__y"] for r in rows])
+    model = train([r["__t"] for r in rows], [r["__y"] for r in rows])
+    del rows
+    give_back()
+    return model
 
 
 def held_out(key: str, folds: int = 5):
