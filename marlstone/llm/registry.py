@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marlstone.llm.collocations import ORACLE as PHRASE_SQL
+from marlstone.llm.collocations import op13_phrase_collocations
 from marlstone.llm.common import table
 from marlstone.llm.jaccard import op10_ngram_jaccard_join
 from marlstone.llm.language import op6_language_id
@@ -30,7 +32,7 @@ def pipeline(spark, sf_dir):
 
 OPERATORS = (
     op1_secret_scans, op2_html_extraction, op3_quality_rules, op4_mix_sources, op5_license_scans, op6_language_id, op7_media_copies,
-    op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join, op11_line_dedup, op12_embedding_whitening,
+    op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join, op11_line_dedup, op12_embedding_whitening, op13_phrase_collocations,
 )
 QUERIES = {**{f.__name__: f for f in OPERATORS}, "pipeline": pipeline}
-ORACLE: dict[str, str] = {"op5_license_scans": license_sql(), "op11_line_dedup": LINE_SQL}
+ORACLE: dict[str, str] = {"op5_license_scans": license_sql(), "op11_line_dedup": LINE_SQL, "op13_phrase_collocations": PHRASE_SQL}
