@@ -1,6 +1,6 @@
 """Every query over the driver's tables, and its SQL."""
 
-from marlstone.plans import findings, relations, rules, scalars, selecting, timed  # noqa: F401
+from marlstone.plans import findings, logs, relations, rules, scalars, selecting, timed  # noqa: F401
 from marlstone.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
