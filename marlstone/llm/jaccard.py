@@ -513,13 +513,9 @@ def buckets_of(docs: DataFrame) -> int:
     return 1 << max(5, (docs.rdd.getNumPartitions() * size // BUCKET).bit_length())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles, component (the least key that it reaches by links, its own included).
-
-    A null or empty text, or one of white space, has no shingles and is linked with nothing. Equal texts are one set;
-    repeated rows are copies. An empty table gives an empty one. Other columns aren't read.
-    """
-    docs = docs.select(F.col(key).alias("__id"), F.col(text).alias("__t"))
+def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(__id, th, n, c, m) of every row: key, hash of its text, shingles, class and the class's least key; c is null without shingles."""
+    docs = docs.select(F.col(key).alias("__id"), F.col(text).alias("__t"), F.xxhash64(text).alias("th"))
     kind = docs.schema["__id"].dataType.simpleString()
 
     def make():
@@ -527,34 +523,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
         def step(x: dict) -> dict:
             sets = [of(t) for t in x["__t"]]
-            return {"__id": x["__id"], "sid": [set_id(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "bits": [bitmap(s) if len(s) else None for s in sets]}
+            return {"__id": x["__id"], "th": x["th"], "sid": [set_id(s) if len(s) else None for s in sets], "n": [len(s) for s in sets], "bits": [bitmap(s) if len(s) else None for s in sets]}
 
         return step
 
-    rows = written(map_batches(docs, make, f"__id {kind}, sid bigint, n bigint, bits binary"))
+    rows = written(map_batches(docs, make, f"__id {kind}, th bigint, sid bigint, n bigint, bits binary"))
+    docs = docs.drop("th")
     # shingles that prefixes share in plain order are common; with these last, few prefixes but those of copies meet
     buckets = buckets_of(docs)
     common, often = shared_shingles(docs, buckets)
     found = written(roots(postings(docs, common, often, buckets), buckets))
     comps = written(components(written(connected(found, docs, rows))))
-    whole = rows.join(comps, F.col("sid") == F.col("v"), "left").select("__id", "n", F.coalesce("c", "sid").alias("c"))
+    whole = rows.join(comps, F.col("sid") == F.col("v"), "left").select("__id", "th", "n", F.coalesce("c", "sid").alias("c"))
     least = whole.filter("c IS NOT NULL").groupBy("c").agg(F.min("__id").alias("m")).withColumnRenamed("c", "d")
-    joined = whole.filter("c IS NOT NULL").join(least, F.col("c") == F.col("d")).select("__id", "n", "m")
-    alone = whole.filter("c IS NULL").select("__id", "n", F.col("__id").alias("m"))
-    return joined.unionByName(alone).select(F.col("__id").alias(key), F.col("n").alias("n_shingles"), F.col("m").alias("component_id"))
+    joined = whole.filter("c IS NOT NULL").join(least, F.col("c") == F.col("d")).select("__id", "th", "n", "c", "m")
+    alone = whole.filter("c IS NULL").select("__id", "th", "n", "c", F.col("__id").alias("m"))
+    return joined.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_shingles, component (the least key that it reaches by links, its own included).
+
+    A null or empty text, or one of white space, has no shingles and is linked with nothing. Equal texts are one set;
+    repeated rows are copies. An empty table gives an empty one. Other columns aren't read.
+    """
+    return classes(docs, key, text).select(F.col("__id").alias(key), F.col("n").alias("n_shingles"), F.col("m").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, without those linked to a row of a smaller key, and without repeated rows of a key."""
-    found = written(near_duplicates(docs, key, text))
-    gone = written(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct())
-    twice = written(found.groupBy(F.col(key).alias("__twice")).count().filter("count > 1").select("__twice"))
-    hint = lambda ids: F.broadcast(ids) if ids.count() <= SMALL else ids
-    left = docs.join(hint(gone), F.col(key) == F.col("__gone"), "left_anti")
+    """The rows of `docs`, all columns, one of each class: that of the least key, and of its rows that of the least text hash.
+
+    Rows go, not keys: a row of another text stays though its key has a row that goes. Repeated rows of a key and text are
+    one. A null key comes after all others. Rows without shingles stay. An empty table gives an empty one.
+    """
+    found = written(classes(docs, key, text))
+    rows = found.groupBy("__id", "th", "c", "m").agg(F.count("*").alias("k"))
+    first = rows.filter("c IS NOT NULL AND __id <=> m").groupBy(F.col("c").alias("d")).agg(F.min("th").alias("kept"), F.count("*").alias("of"))
+    other = rows.filter("c IS NOT NULL AND NOT __id <=> m").select("__id", "th")
+    several = rows.filter("c IS NOT NULL AND __id <=> m").join(first.filter("of > 1"), F.col("c") == F.col("d")).filter("th != kept").select("__id", "th")
+    gone = little(other.unionByName(several).select(F.col("__id").alias("__gone"), F.col("th").alias("__th")))
+    twice = little(rows.filter("k > 1").select(F.col("__id").alias("__twice"), F.col("th").alias("__th")))
+    same = lambda ids: docs[key].eqNullSafe(F.col(ids)) & (F.xxhash64(docs[text]) == F.col("__th"))
+    left = docs.join(gone, same("__gone"), "left_anti")
     if not twice.take(1):
         return left
-    again = left.join(hint(twice), F.col(key) == F.col("__twice"), "left_semi").dropDuplicates([key, text])
-    return left.join(hint(twice), F.col(key) == F.col("__twice"), "left_anti").unionByName(again)
+    again = left.join(twice, same("__twice"), "left_semi").dropDuplicates([key, text])
+    return left.join(twice, same("__twice"), "left_anti").unionByName(again)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -581,7 +595,7 @@ def brute_force(texts: dict) -> dict:
     for k, s in sets.items():
         for x in s:
             by.setdefault(x, []).append(k)
-    pairs = {(a, b) for ks in by.values() for i, a in enumerate(ks) for b in ks[i + 1 :]} if len(sets) <= 2000 else set()
+    pairs = {(a, b) for ks in by.values() for i, a in enumerate(ks) for b in ks[i + 1 :]}
     for a, b in pairs:
         both = len(sets[a] & sets[b])
         if 100 * both >= 75 * len(sets[a] | sets[b]):

@@ -35,14 +35,14 @@ SENTENCES = (
     ("zlib_altered", "altered source versions must be plainly marked as such"),
     ("boost_grant", "boost software license version 1 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("lgpl", "gnu lesser general public license( as published by the free software foundation)?"),
-    ("agpl", "gnu affero general public license( as published by the free software foundation)?"),
+    ("lgpl", "gnu lesser general public license( as published by the free software foundation)?|lgpl( ?v?[0-9]( [0-9])?)?"),
+    ("agpl", "gnu affero general public license( as published by the free software foundation)?|agpl( ?v?[0-9]( [0-9])?)?"),
     ("gpl_warranty", "without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gpl_received", "you should have received a copy of the gnu general public license along with this program"),
-    ("gpl3_later", "(gnu general public license|gpl)( as published by the free software foundation)?( either)?( version| v)? ?3( 0)?( of the license)? or at your option any later version"),
-    ("gpl2_later", "(gnu general public license|gpl)( as published by the free software foundation)?( either)?( version| v)? ?2( 0)?( of the license)? or at your option any later version"),
-    ("gpl3", "(gnu general public license|gpl)( as published by the free software foundation)?( version|v)? ?3"),
-    ("gpl2", "(gnu general public license|gpl)( as published by the free software foundation)?( version|v)? ?2"),
+    ("gpl3_later", "(gnu general public license|gpl)( as published by the free software foundation)?( either)?( version| ?v)? ?3( 0)?( of the license)? or at your option any later version"),
+    ("gpl2_later", "(gnu general public license|gpl)( as published by the free software foundation)?( either)?( version| ?v)? ?2( 0)?( of the license)? or at your option any later version"),
+    ("gpl3", "(gnu general public license|gpl)( as published by the free software foundation)?( version| ?v)? ?3"),
+    ("gpl2", "(gnu general public license|gpl)( as published by the free software foundation)?( version| ?v)? ?2"),
     ("mpl2", "mozilla public license (v |version )?2 0"),
     ("mpl2_copy", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("epl2", "eclipse public license (v |version )?2 0"),
@@ -96,7 +96,8 @@ CUE = "(?i)licen[cs]e|redistribut|permission|warranty|gnu |neither the name|gpl|
 #: Where a paragraph ends: a line of white space and comment marks alone. Where a sentence does. A line feed within a
 #: paragraph ends neither, so a notice may be wrapped and stand in a comment.
 BREAK = r"[.!?]+(?:[\x20\x09-\x0D]+|$)|\n[\x20\x09\x0B-\x0D*#/;-]*\n"
-ANY_SENTENCE = "|".join(f"(?:{p})" for _, p in SENTENCES)
+#: A sentence begins and ends with whole words: no GPL in AGPL, no version 2 in 2019.
+ANY_SENTENCE = r"\b(?:" + "|".join(f"(?:{p})" for _, p in SENTENCES) + r")\b"
 
 
 def identifiers(text: Column) -> Column:

@@ -124,8 +124,8 @@ def estimates(rows: DataFrame) -> DataFrame:
     """Per `g`: centre, Cholesky factor and scale of the minimum covariance determinant; rows have g, x1 to x4.
 
     Three starts: medians and absolute deviations; means and covariances of all rows; those of the rows of one half by
-    hash. From each, concentration steps go on until no determinant falls any more: the share KEEP of a group's rows with
-    the smallest distances gives the next estimate. The least determinant counts. Quantiles are sketches of bounded size.
+    hash. From each, concentration steps go on until no determinant falls any more, but STEPS times at most: the share KEEP of
+    a group's rows with the smallest distances gives the next estimate, which takes the last one's place. The least determinant counts. Quantiles are sketches of bounded size.
     """
     near = lambda c, q: F.percentile_approx(c, q, 2000)
     middle = written(rows.groupBy("g").agg(*[near(x, 0.5).alias(f"m{i}") for i, x in enumerate(STATS)]))
@@ -143,7 +143,6 @@ def estimates(rows: DataFrame) -> DataFrame:
         bound = written(far.groupBy("g", "start").agg(near("d", KEEP).alias("most")))
         core = far.join(small(bound), ["g", "start"]).filter("d <= most")
         after = moments(core, ["g", "start"]).withColumn("volume", volume())
-        # a start's estimate stays once its determinant falls no more
         after = after.join(known.select("g", "start", "before"), ["g", "start"])
         now = written(after)
         moved = now.filter(F.col("before").isNull() | (F.col("volume") < F.col("before") - EPS)).limit(1).count()

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from marlstone.llm import collocations, line_dedup, registry, whitening
+from marlstone.llm import collocations, jaccard, licenses, line_dedup, registry, whitening
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -122,3 +122,33 @@ def test_phrases_of_odd_rows(spark, monkeypatch):
     assert same(collocations.collocations(df).collect(), want)
     assert same(collocations.collocations(df, top=3).collect(), collocations.brute_force(docs, top=3))
     assert collocations.collocations(df.limit(0)).collect() == [] == collocations.collocations(df.filter("lang = 'x'")).collect()
+
+
+def test_licences_are_whole_words(spark):
+    texts = {
+        "AGPL-3.0": "AGPL", "LGPL-2.1": "LGPL", "the GPL 2019 workshop": "", "the gpl 300 items license": "", "GPL v3": "GPL-3.0", "GPLv2.": "GPL-2.0", "under the GNU Affero General Public License": "AGPL",
+        "GPL-3.0 and LGPL": "LGPL,GPL-3.0", "a CC-BY-4.0 and a CC-BY-40 thing": "CC-BY-4.0", "Licensed under the Apache License, Version 2.0": "Apache-2.0",
+    }
+    got = licenses.find_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {list(texts)[r.doc_id]: r.licenses for r in got} == texts
+
+
+def test_one_of_each_drops_rows_not_keys(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near = a.replace("a39", "x")
+    rows = [(1, a, "p"), (2, a, "q"), (2, b, "r"), (2, b, "r"), (3, near, "s"), (4, None, "t"), (4, None, "t"), (5, "", "u"), (None, a, "v"), (None, "w " * 9, "x"), (1, near, "y")]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, n int, c int, th int")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted([(r.doc_id, r.text) for r in got.collect()], key=repr)
+    first = [x for x in kept if x[0] == 1]
+    assert len(first) == 1 and first[0][1] in (a, near)
+    assert [x for x in kept if x[0] != 1] == sorted([(2, b), (4, None), (5, ""), (None, "w " * 9)], key=repr)
+    nulls = spark.createDataFrame([(None, a), (None, a), (None, near)], "doc_id long, text string")
+    assert jaccard.one_of_each(nulls).count() == 1 and jaccard.one_of_each(df.limit(0)).collect() == []
+
+
+def test_brute_force_compares_any_number():
+    texts = {i: f"{i % 1500} is the number of this text here" for i in range(2100)}
+    got = jaccard.brute_force(texts)
+    assert got[1500] == (got[0][0], 0) and got[1499][1] == 1499
