@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-#: Parts of field names that must not be published.
-PRIVATE = ("duration", "elapsed", "wall_clock", "wallclock", "token_secret", "password")
+from marlstone.session import cut
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,8 +31,8 @@ def missing_cells(df: DataFrame, row: str, column: str) -> DataFrame:
     return cells.join(df.select(row, column).distinct(), [row, column], "left_anti")
 
 
-def private_fields(df: DataFrame, words: tuple[str, ...] = PRIVATE) -> list[str]:
-    """Dotted paths of fields at any depth whose name holds one of `words`; the schema alone is read."""
+def private_fields(df: DataFrame, words: tuple[str, ...]) -> list[str]:
+    """Dotted paths of fields at any depth whose name holds one of the caller's `words`; the schema alone is read, so keys of maps are `private_keys`'."""
     out: list[str] = []
 
     def walk(kind: DataType, path: str) -> None:
@@ -50,3 +49,23 @@ def private_fields(df: DataFrame, words: tuple[str, ...] = PRIVATE) -> list[str]
 
     walk(df.schema, "")
     return out
+
+
+def private_keys(df: DataFrame, column: str, words: tuple[str, ...]) -> DataFrame:
+    """(path, n): keys of a VARIANT column's objects, at any depth and in arrays, that hold one of `words`, and in how many rows.
+
+    A level is a job: values are opened by `variant_explode` until none is an object or an array.
+    """
+    spark, out = df.sparkSession, None
+    level = df.select(F.monotonically_increasing_id().alias("row"), F.lit("$").alias("path"), F.col(column).alias("v"))
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(F.lower("key"), F.lit(w))
+    while True:
+        inner = spark.sql("SELECT row, path, e.key AS key, e.value AS v FROM {level}, LATERAL variant_explode(v) e WHERE schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)'", level=level)
+        inner = cut(inner.withColumn("path", F.concat("path", F.when(F.col("key").isNull(), "[]").otherwise(F.concat(F.lit("."), "key")))))
+        found = inner.filter(F.col("key").isNotNull() & hit).select("row", "path").distinct()
+        out = found if out is None else out.unionByName(found)
+        level = inner.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")).select("row", "path", "v")
+        if not level.take(1):
+            return out.distinct().groupBy("path").agg(F.count("*").alias("n"))

@@ -64,11 +64,13 @@ def hamming_pairs(df: DataFrame, key: str, bits: str, most: int) -> DataFrame:
     return pairs.filter(F.col("distance") <= most).select("a", "b", "distance").distinct()
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str, order: list[Column | str], rounds: int = 100) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str, order: list[Column | str] | str, rounds: int = 10_000) -> DataFrame:
     """Rows that a pass in priority order keeps if it drops what is near to a kept row.
 
     The lexicographically first maximal independent set: each round keeps rows without an undecided neighbour before
-    them and drops the neighbours of kept rows, so the sequential answer comes in a few distributed rounds.
+    them and drops the neighbours of kept rows, so the sequential answer comes in a few distributed rounds. Rounds go on
+    until no row is open; more than `rounds` of them are an error. The name of one ascending column as `order` needs no
+    window over all rows.
     """
     ranked = nodes.select(key, F.row_number().over(Window.orderBy(*order)).alias("__p")) if not isinstance(order, str) else nodes.select(key, F.col(order).alias("__p"))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -86,4 +88,6 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str, order: list[Column
         state = cut(state.join(news, "a", "left").select("a", F.coalesce("n", "s").alias("s")))
         if not state.filter("s = 0").take(1):
             break
+    else:
+        raise RuntimeError(f"rows are still open after {rounds} rounds")
     return nodes.join(state.filter("s = 1").select(F.col("a").alias(key)), key, "left_semi")

@@ -86,7 +86,7 @@ SELECT unnest(ids) AS vec_id FROM (SELECT ids FROM r ORDER BY k DESC LIMIT 1)"""
 def greedy_dedupe(t: Tables) -> DataFrame:
     """Vectors kept by a pass in the order of their ids that drops what is within 16 bits of a kept one."""
     bits = sign_bits(t)
-    return D.greedy_keep(bits, D.hamming_pairs(bits, "vec_id", "h", 16), "vec_id", ["vec_id"]).select("vec_id")
+    return D.greedy_keep(bits, D.hamming_pairs(bits, "vec_id", "h", 16), "vec_id", "vec_id").select("vec_id")
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars < 200 THEN 'short' WHEN contains(text, '!!') THEN 'shouting' WHEN contains(text, ' | ') THEN 'table' WHEN NOT regexp_matches(lower(text), '(the|der|les|que)') THEN 'no keyword' END AS reason FROM documents""")

@@ -103,15 +103,11 @@ def idle_users(events: DataFrame, after: str = "30 minutes", late: str = "10 min
 
 
 def upsert(spark: SparkSession, stream: DataFrame, path: str, keys: list[str], sequence: str, checkpoint: str):
-    """Corrected rows into a table: each batch is merged by partial aggregation and takes the table's place; a repeated batch changes nothing."""
-    from marlstone.operators.select import last_wins
-    from marlstone.sources.files import exists
-    from marlstone.sources.sinks import replace
-
-    def merge(batch: DataFrame, _: int) -> None:
-        own = batch.sparkSession
-        old = own.read.schema(batch.schema).parquet(path) if exists(own, path) else own.createDataFrame([], batch.schema)
-        replace(last_wins(old.unionByName(batch), keys, sequence).select(*batch.columns), path)
+    """Corrected rows into a versioned table: a batch writes the buckets of its keys, and a repeated one changes nothing; `versions.read` gives the table."""
+    from marlstone.sources import versions
+
+    def merge(batch: DataFrame, k: int) -> None:
+        versions.upsert(batch, path, keys, sequence, batch=k)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -71,7 +71,25 @@ def test_numpy_draws_run_through_one_generator(spark):
 
 def test_private_fields_at_any_depth(spark):
     df = spark.createDataFrame([], "a struct<b: array<struct<elapsed_s: int>>>, Duration int, m map<string, struct<x: int>>")
-    assert I.private_fields(df) == ["a.b.elapsed_s", "Duration"]
+    assert I.private_fields(df, ("elapsed", "duration")) == ["a.b.elapsed_s", "Duration"]
+
+
+def test_private_keys_of_documents(spark):
+    rows = ['{"a":[{"Elapsed_s":1,"m":{"x_elapsed":{"elapsed":2}}}]}', '{"a":[{"elapsed_s":1},{"Elapsed_s":1}]}', "[]", "3", None]
+    df = spark.createDataFrame([(x,) for x in rows], "t string").select(F.parse_json("t").alias("v"))
+    got = {tuple(r) for r in I.private_keys(df, "v", ("elapsed",)).collect()}
+    assert got == {("$.a[].Elapsed_s", 2), ("$.a[].elapsed_s", 1), ("$.a[].m.x_elapsed", 1), ("$.a[].m.x_elapsed.elapsed", 1)}
+    assert I.private_keys(df.limit(0), "v", ("elapsed",)).collect() == []
+
+
+def test_greedy_keep_raises_at_its_bound(spark):
+    import pytest
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in range(10)], "id long")
+    assert sorted(r.id for r in D.greedy_keep(nodes, path, "id", "id").collect()) == [0, 2, 4, 6, 8]
+    with pytest.raises(RuntimeError, match="open"):
+        D.greedy_keep(nodes, path, "id", "id", rounds=3)
 
 
 def test_latex(spark):

@@ -12,7 +12,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from marlstone.sources import archives, files, sinks
+from marlstone.sources import archives, files, sinks, versions
 from marlstone.streaming import streams
 
 
@@ -153,7 +153,37 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "i")).filter("user_id = 2 AND events = 1").count() >= 1
     table = str(tmp_path / "t")
     streams.upsert(spark, open_(), table, ["user_id"], "event_id", str(tmp_path / "t-c")).awaitTermination()
-    assert {(r.user_id, r.event_id) for r in spark.read.parquet(table).collect()} == {(1, 9), (2, 3), (3, 10)}
+    assert {(r.user_id, r.event_id) for r in versions.read(spark, table, open_().schema).collect()} == {(1, 9), (2, 3), (3, 10)}
+
+
+def test_versions_write_what_a_batch_touches_and_survive_crashes(spark, tmp_path, monkeypatch):
+    root, kind = str(tmp_path / "v"), "k long, seq long, x string"
+    rows = lambda *r: spark.createDataFrame(r, kind)
+    now = lambda **at: {r.k: r.x for r in versions.read(spark, root, kind, **at).collect()}
+    assert now() == {}
+    assert versions.upsert(spark.range(200).selectExpr("id AS k", "1L AS seq", "'a' AS x"), root, ["k"], "seq", batch=0) == 1
+    before = {k: v for k, v in versions._version(spark, root, 1)[0].items()}
+    assert versions.upsert(rows((7, 2, "b"), (7, 0, "old")), root, ["k"], "seq", batch=1) == 2
+    after, _ = versions._version(spark, root, 2)
+    assert sum(before[k] != after[k] for k in before) == 1 and now()[7] == "b" and now(version=1)[7] == "a" and len(now()) == 200
+    assert versions.upsert(rows((7, 9, "again")), root, ["k"], "seq", batch=1) == 2 and now()[7] == "b"
+    real = {n: getattr(versions, n) for n in ("_write", "_publish")}
+    for name, do in (("_write", False), ("_write", True), ("_publish", False)):
+        def fails(*a, name=name, do=do):
+            if do:
+                real[name](*a)
+            raise OSError("lost")
+
+        monkeypatch.setattr(versions, name, fails)
+        with pytest.raises(OSError, match="lost"):
+            versions.upsert(rows((7, 3, "c")), root, ["k"], "seq", batch=2)
+        monkeypatch.setattr(versions, name, real[name])
+        assert now()[7] == "b" and len(now()) == 200
+    assert versions.upsert(rows((7, 3, "c")), root, ["k"], "seq", batch=2) == 3 and now()[7] == "c"
+    with pytest.raises(OSError, match="there already"):
+        versions._publish(spark, root, 3, {}, 5)
+    assert len(versions.vacuum(spark, root)) >= 3 and now()[7] == "c" and len(now()) == 200
+    assert versions.replace(rows((1, 1, "z")), root, ["k"]) == 4 and now() == {1: "z"}
 
 
 def test_streamed_ledger(spark, tmp_path):

@@ -83,6 +83,10 @@ def test_matched_texts(spark):
     rows = [(1, "reference", 0, "one two three", 0.0, 0.0), (1, "candidate", 0, "one two three", 0.0, 0.0), (2, "reference", 0, "abc", 0.0, 0.0), (3, "candidate", 0, "x", 0.0, 0.0), (1, "reference", 1, "zzz", 0.9, 0.9)]
     df = spark.createDataFrame(rows, "pair long, side string, position int, text string, x double, y double")
     assert {r.pair: r.score for r in R.matched_texts(df, "pair").collect()} == {1: 0.5, 2: 0.0, 3: 0.0}
+    # words in lower case; nearness ends at .35 of the diagonal; a text ratio below .25 doesn't fit, however near
+    far = [(1, "reference", 0, "One, two!", 0.0, 0.0), (1, "candidate", 0, "one two", 0.0, 1.0), (2, "reference", 0, "abcdefgh", 0.5, 0.5), (2, "candidate", 0, "hxyzuvwq", 0.5, 0.5)]
+    df = spark.createDataFrame(far, "pair long, side string, position int, text string, x double, y double")
+    assert {r.pair: r.score for r in R.matched_texts(df, "pair").collect()} == {1: 0.72, 2: 0.0}
 
 
 def test_rounds_are_enforced(spark):
