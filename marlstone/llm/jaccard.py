@@ -414,7 +414,7 @@ def dealt(members: DataFrame, per: DataFrame) -> DataFrame:
     """(k, p, q, g, sid, part): the sets of each group g that tasks (k, p, q) traverse; `members` have g, sid, n, `per` g, w (its shingles) and lo.
 
     Groups with the same `lo` share a task. A group of more than BLOCK shingles is cut by size into bins, and these into
-    blocks by hash; blocks of a bin and of near ones meet, each two in a task of its own.
+    blocks by hash; here a block meets itself alone.
     """
     zero = F.lit(0).cast("bigint")
     per = written(per.join(per.groupBy("lo").agg(F.sum("w").alias("lo_w")), "lo"))
@@ -422,16 +422,55 @@ def dealt(members: DataFrame, per: DataFrame) -> DataFrame:
     groups = 1 << max(4, (sums // TOGETHER).bit_length())
     small = per.filter(F.col("w") <= BLOCK).select("g", F.pmod(F.xxhash64(F.when(F.col("lo_w") <= TOGETHER, F.col("lo")).otherwise(F.col("g"))), F.lit(groups)).alias("k"))
     under = members.join(small, "g").select("k", zero.alias("p"), zero.alias("q"), "g", "sid", zero.alias("part"))
-    large = members.join(per.filter(F.col("w") > BLOCK).select("g"), "g").withColumn("bin", size_bin())
-    # a block's number: its bin, then its place in the bin
-    sizes = large.groupBy("g", "bin").agg(F.ceil(F.sum("n") / (BLOCK // 2)).alias("n_of"))
-    meets = sizes.join(sizes.select("g", F.col("bin").alias("other"), F.col("n_of").alias("of")), "g").filter(F.abs(F.col("bin") - F.col("other")) <= BINS + 1)
-    meets = meets.groupBy("g", "bin", "n_of").agg(F.collect_list(F.struct("other", "of")).alias("others"))
-    block = lambda b, i: b.cast("bigint") * (1 << 32) + i
-    big = large.join(meets, ["g", "bin"]).withColumn("part", block(F.col("bin"), F.pmod(F.xxhash64("sid"), F.col("n_of"))))
-    big = big.withColumn("o", F.explode("others")).withColumn("o", F.explode(F.transform(F.sequence(zero, F.col("o.of") - 1), lambda i: block(F.col("o.other"), i))))
-    big = big.select(F.col("g").alias("k"), F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "g", "sid", "part")
-    return written(under.unionByName(big))
+    large = members.join(per.filter(F.col("w") > BLOCK).select("g"), "g").withColumn("out", F.lit(True))
+    return written(under.unionByName(blocks_met(large, alone=True)))
+
+
+def blocks_met(large: DataFrame, alone: bool = False) -> DataFrame:
+    """The same rows for large groups (g, sid, n, out): blocks of near bins meet, but for two of sets that aren't `out`; `alone`: each meets itself."""
+    zero = F.lit(0).cast("bigint")
+    large = large.withColumn("bin", size_bin())
+    # a block's number: its bin, whether its sets are out, then its place in the bin
+    sizes = large.groupBy("g", "bin", "out").agg(F.ceil(F.sum("n") / (BLOCK // 2)).alias("n_of"))
+    block = lambda b, out, i: (b.cast("bigint") * 2 + out.cast("int")) * (1 << 32) + i
+    placed = large.join(sizes, ["g", "bin", "out"]).withColumn("part", block(F.col("bin"), F.col("out"), F.pmod(F.xxhash64("sid"), F.col("n_of"))))
+    if alone:
+        return placed.select(F.col("g").alias("k"), F.col("part").alias("p"), F.col("part").alias("q"), "g", "sid", "part")
+    other = sizes.select("g", F.col("bin").alias("other"), F.col("out").alias("other_out"), F.col("n_of").alias("of"))
+    meets = sizes.join(other, "g").filter((F.abs(F.col("bin") - F.col("other")) <= BINS + 1) & (F.col("out") | F.col("other_out")))
+    meets = meets.groupBy("g", "bin", "out").agg(F.collect_list(F.struct("other", "other_out", "of")).alias("others"))
+    big = placed.join(meets, ["g", "bin", "out"]).withColumn("o", F.explode("others"))
+    big = big.withColumn("o", F.explode(F.transform(F.sequence(zero, F.col("o.of") - 1), lambda i: block(F.col("o.other"), F.col("o.other_out"), i))))
+    return big.select(F.col("g").alias("k"), F.least("part", "o").alias("p"), F.greatest("part", "o").alias("q"), "g", "sid", "part")
+
+
+def classed(large: DataFrame, links: DataFrame) -> DataFrame:
+    """`large` (g, sid, n) with `c`, the class of each set by the links between such sets."""
+    ids = little(large.select("sid").distinct())
+    among = links.join(ids.withColumnRenamed("sid", "a"), "a", "left_semi").join(ids.withColumnRenamed("sid", "b"), "b", "left_semi")
+    found = little(components(among.select("a", "b")).withColumnRenamed("c", "of"))
+    return written(large.join(found, F.col("sid") == F.col("v"), "left").select("g", "sid", "n", F.coalesce("of", "sid").alias("c")))
+
+
+def meetings(members: DataFrame, per: DataFrame, what: DataFrame, name: str) -> DataFrame:
+    """Links that connect the sets of all groups.
+
+    A large group's blocks are traversed alone first. One set for each class then found meets those of the group's other
+    classes, if they fit a block. What is still apart from the group's heaviest class meets all blocks; sets that are
+    connected already never meet again. So a set of a group of copies is sent about twice, however many blocks the group has.
+    """
+    links = written(traversals(dealt(members, per), what, name))
+    large = written(members.join(per.filter(F.col("w") > BLOCK).select("g"), "g").select("g", "sid", "n"))
+    if not large.take(1):
+        return links
+    own = classed(large, links)
+    heads = written(own.groupBy("g", "c").agg(F.min_by(F.struct("sid", "n"), "sid").alias("h")).select("g", "h.sid", "h.n"))
+    fit = heads.groupBy("g").agg(F.sum("n").alias("w"), F.count("*").alias("f")).filter((F.col("w") <= BLOCK) & (F.col("f") > 1)).select("g", "w", F.col("g").alias("lo"))
+    links = written(links.unionByName(traversals(dealt(heads.join(fit.select("g"), "g"), fit), what, name)))
+    own = classed(large, links)
+    main = own.groupBy("g", "c").agg(F.sum("n").alias("w")).groupBy("g").agg(F.max_by("c", F.struct("w", "c")).alias("main"), F.count("*").alias("classes"))
+    apart = own.join(main.filter("classes > 1"), "g").select("g", "sid", "n", (F.col("c") != F.col("main")).alias("out"))
+    return links.unionByName(traversals(written(blocks_met(apart)), what, name)).distinct()
 
 
 def met_under(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -499,11 +538,11 @@ def connected(found: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     members, per = met_under(found)
     one = little(one_row_each(rows, members).withColumnRenamed("sid", "__sid"))
     maps = rows.join(one, (F.col("sid") == F.col("__sid")) & F.col("__id").eqNullSafe(F.col("__of")), "left_semi").select("sid", "bits")
-    groups = written(components(written(traversals(dealt(members, per), maps, "bits"))))
+    groups = written(components(written(meetings(members, per, maps, "bits"))))
     sizes = rows.filter("sid IS NOT NULL").groupBy(F.col("sid").alias("v")).agg(F.min("n").alias("n"))
     members = written(groups.join(sizes, "v").select(F.col("c").alias("g"), F.col("v").alias("sid"), "n"))
     per = members.groupBy("g").agg(F.sum("n").alias("w")).withColumn("lo", F.col("g"))
-    return traversals(dealt(members, per), held_texts(docs, rows, members), "s")
+    return meetings(members, per, held_texts(docs, rows, members), "s")
 
 
 def buckets_of(docs: DataFrame) -> int:

@@ -152,3 +152,19 @@ def test_brute_force_compares_any_number():
     texts = {i: f"{i % 1500} is the number of this text here" for i in range(2100)}
     got = jaccard.brute_force(texts)
     assert got[1500] == (got[0][0], 0) and got[1499][1] == 1499
+
+
+def test_large_groups_in_blocks_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 400)
+    rng = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(30))
+    texts = {}
+    for family in range(3):  # near copies in chains, whose ends aren't alike
+        words = [f"f{family}w{i}" for i in range(40)]
+        for k in range(40):
+            words[rng.randrange(40)] = f"x{family}y{k}"
+            texts[len(texts)] = f"{shared} {' '.join(words)}"
+    for k in range(60):  # a passage in common and nothing else
+        texts[len(texts)] = shared + " " + " ".join(f"o{k}z{i}" for i in range(rng.randrange(5, 60)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == jaccard.brute_force(texts) and len({c for _, c in got.values()}) < len(texts) - 40
