@@ -94,7 +94,8 @@ def events(lines: DataFrame) -> DataFrame:
     parsed = lines.select("log", "agent", "line", F.try_parse_json("value").alias("e"))
     whole = F.coalesce(kind(F.col("e")) == "OBJECT", F.lit(False))
     e, of = F.col("o"), F.coalesce(text(F.col("o"), "type"), F.lit(""))
-    shaped = parsed.select("log", "agent", "line", F.col("e").isNull().alias("parse_error"), F.when(whole, F.col("e")).alias("o"))
+    # an explode of one element keeps what is above it from repeating what is below: a line is parsed once, and plans stay small
+    shaped = parsed.select("log", "agent", "line", F.explode(F.array(F.struct(F.col("e").isNull().alias("parse_error"), F.when(whole, F.col("e")).alias("o")))).alias("x")).select("log", "agent", "line", "x.*")
     wrong = F.coalesce(F.try_variant_get(e, "$.is_error", "boolean"), F.lit(False)) | F.coalesce(text(e, "subtype") != "success", F.lit(True))
     outcome = F.when(of == "error", "error").when(of == "turn.completed", "good").when(of == "turn.failed", "bad").when(of == "result", F.when(wrong, "bad").otherwise("good"))
     limit = (of == "result") & F.coalesce((text(e, "terminal_reason") == "max_turns") | (text(e, "subtype") == "error_max_turns"), F.lit(False))
@@ -106,7 +107,8 @@ def events(lines: DataFrame) -> DataFrame:
             if c in given:
                 value = F.when(F.col("agent") == name, given[c]).otherwise(value)
         columns.append(value.alias(c))
-    return shaped.select("log", "agent", "line", "parse_error", F.nullif(of, F.lit("")).alias("type"), outcome.alias("outcome"), limit.alias("turn_limit"), *columns)
+    told = F.struct("parse_error", F.nullif(of, F.lit("")).alias("type"), outcome.alias("outcome"), limit.alias("turn_limit"), *columns)
+    return shaped.select("log", "agent", "line", F.explode(F.array(told)).alias("x")).select("log", "agent", "line", "x.*")
 
 
 def last(value: str | Column, when: Column) -> Column:
