@@ -1,10 +1,12 @@
-"""Ordered computations: usage ledgers, error attribution, last values of typed events, prefix offsets."""
+"""Ordered computations: usage ledgers, error attribution, last values of typed events, prefix offsets, places in order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.session import written
+
 
 def ledger(df: DataFrame, thread: str, order: str, counter: str, cumulative: str) -> DataFrame:
     """`increment`: a cumulative report less the thread's previous cumulative report; other reports as they are.
@@ -37,3 +39,21 @@ def prefix_offsets(df: DataFrame, keys: list[str], order: str, length: str) -> D
     """`sequence` from 0 and `offset`, the lengths before."""
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumns({"sequence": (F.row_number().over(w) - 1).cast("long"), "offset": F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")})
+
+
+def placed(df: DataFrame, keys: list[str], order: list[Column | str], out: str = "place") -> DataFrame:
+    """`out`: a row's place from 1 within its keys, without a task for a key: rows are cut into ranges of (keys, order).
+
+    A range numbers its own rows; what a key's earlier ranges hold is added. Only keys that begin in an earlier range
+    have such a sum, at most one key for each range, so these sums are broadcast. Null keys are a key; ties take any order.
+    """
+    ranges = written(df.repartitionByRange(*keys, *order).withColumn("__r", F.spark_partition_id()))
+    w = Window.partitionBy(*keys, "__r").orderBy(*order)
+    sums = ranges.groupBy(*keys, "__r").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1))
+    carried = sums.withColumn("__before", before).filter("__before > 0").select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.col("__r").alias("__q"), "__before")
+    same = F.col("__r") == F.col("__q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    numbered = ranges.withColumn("__place", F.row_number().over(w)).join(F.broadcast(carried), same, "left")
+    return numbered.withColumn(out, (F.col("__place") + F.coalesce("__before", F.lit(0))).cast("long")).select(*df.columns, out)

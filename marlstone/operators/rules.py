@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.ordered import placed
 from marlstone.operators.select import first_reason
 
 
@@ -24,10 +25,11 @@ def keyword_score(text: Column, liked: tuple[str, ...], disliked: tuple[str, ...
     return score, F.concat(*marks, F.array_compact(F.array(*[F.when(c, n) for n, _, c in terms])))
 
 
-def structured_score(raster: Column, nodes: Column, edges: Column, plot: Column, hits: Column, labels: Column) -> Column:
-    """-100 for what can't be a diagram, else points for hits, nodes and labels, each capped; three places, half to even."""
+def structured_score(raster: Column, nodes: Column, edges: Column, plot: Column, hits: Column, captioned: Column, drawn: Column) -> Column:
+    """-100 for what can't be a diagram, else points for hits, nodes and edges, each capped, 2 for a caption and 2 for a drawn source; three places, half to even."""
     veto = raster | (nodes < 3) | (edges < 2) | (edges > F.greatest(F.lit(100), 8 * nodes)) | plot | (hits < 1)
-    return F.when(veto, -100.0).otherwise(F.bround(F.least(F.lit(20.0), 4 + 1.5 * hits) + F.least(F.lit(6.0), nodes * 0.25) + F.least(F.lit(4.0), labels * 0.2), 3))
+    capped = F.least(F.lit(20.0), 4 + 1.5 * hits) + F.least(F.lit(8.0), nodes * 0.35) + F.least(F.lit(8.0), edges * 0.35)
+    return F.when(veto, -100.0).otherwise(F.bround(capped + F.when(captioned, 2.0).otherwise(0.0) + F.when(drawn, 2.0).otherwise(0.0), 3))
 
 
 def violations(rules: list[tuple[str, Column]]) -> Column:
@@ -130,9 +132,8 @@ def by_priority(df: DataFrame, buckets: list[Column], then: str) -> DataFrame:
 
 
 def ordinals(df: DataFrame, keys: list[str], order: str, given: str) -> DataFrame:
-    """`ordinal`: the given one, else the place in order."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return df.withColumn("ordinal", F.coalesce(F.col(given).cast("long"), place.cast("long")))
+    """`ordinal`: the given one, else the place in order; no key is one task."""
+    return placed(df, keys, [order], "__n").withColumn("ordinal", F.coalesce(F.col(given).cast("long"), F.col("__n"))).drop("__n")
 
 
 def first_match(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:

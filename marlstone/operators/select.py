@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.ordered import placed
 from marlstone.session import cut
 
 
@@ -39,9 +40,8 @@ def ordered_distinct(df: DataFrame, key: str, position: str) -> DataFrame:
 
 
 def interleave(df: DataFrame, group: str, order: str, key: str) -> DataFrame:
-    """Round robin over groups, first of each key wins: each key's least (position within its group, group)."""
-    placed = df.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(order)))
-    return placed.groupBy(key).agg(F.min(F.struct("position", group)).alias("__p")).select(key, F.col("__p.position").cast("long").alias("position"), F.col(f"__p.{group}").alias(group))
+    """Round robin over groups, first of each key wins: each key's least (position within its group, group); no group is one task."""
+    return placed(df, [group], [order], "position").groupBy(key).agg(F.min(F.struct("position", group)).alias("__p")).select(key, F.col("__p.position").cast("long").alias("position"), F.col(f"__p.{group}").alias(group))
 
 
 def running_stop(df: DataFrame, partition: list[str], order: list[str], amount: str, target: float) -> DataFrame:
@@ -69,10 +69,10 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str, order: list[Column
 
     The lexicographically first maximal independent set: each round keeps rows without an undecided neighbour before
     them and drops the neighbours of kept rows, so the sequential answer comes in a few distributed rounds. Rounds go on
-    until no row is open; more than `rounds` of them are an error. The name of one ascending column as `order` needs no
-    window over all rows.
+    until no row is open; more than `rounds` of them are an error. The name of one ascending column as `order` is taken
+    as it is, other orders are numbered by ranges.
     """
-    ranked = nodes.select(key, F.row_number().over(Window.orderBy(*order)).alias("__p")) if not isinstance(order, str) else nodes.select(key, F.col(order).alias("__p"))
+    ranked = nodes.select(key, F.col(order).alias("__p")) if isinstance(order, str) else placed(nodes, [], order, "__p").select(key, "__p")
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     p = ranked.withColumnRenamed(key, "a").withColumnRenamed("__p", "pa")
     q = ranked.withColumnRenamed(key, "b").withColumnRenamed("__p", "pb")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions import licences as L
 from marlstone.functions import text as X
+from marlstone.operators import ordered as O
 from marlstone.plans.base import Tables, query
 
 
@@ -84,11 +86,41 @@ def license_summary(t: Tables) -> DataFrame:
     return rows.groupBy("family", "status").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first_id"), F.bool_and(F.col("n_chars") > 0).alias("all_with_text"))
 
 
+GRANTS = "[CASE WHEN contains(k, 'by') THEN 'attribution' END, CASE WHEN contains(k, '-nc') THEN 'noncommercial' END, CASE WHEN contains(k, '-sa') THEN 'share-alike' WHEN contains(k, '-nd') THEN 'no-derivatives' END]"
+
+
+@query(f"""WITH u AS (SELECT doc_id, regexp_extract(lower(text), 'by(-nc)?(-nd|-sa)?-?[0-9]') AS m, contains(lower(text), 'apache license') AS a, contains(lower(text), 'mit license') AS b, doc_id % 2 = 0 AS even FROM documents),
+k AS (SELECT doc_id, CASE WHEN m <> '' THEN regexp_replace(m, '-?[0-9]$', '') WHEN a THEN 'other' WHEN b THEN 'zero' WHEN even THEN 'archive' ELSE '' END AS k FROM u)
+SELECT doc_id, CASE k WHEN 'other' THEN 'other' WHEN 'zero' THEN 'cc0' WHEN 'archive' THEN 'arxiv-nonexclusive' WHEN '' THEN 'unknown' ELSE 'cc-' || k END AS family,
+ CASE WHEN k IN ('zero', 'by', 'by-sa') THEN 'release-ready' WHEN k = 'archive' OR contains(k, '-nd') THEN 'exclude-assets' ELSE 'review-required' END AS status,
+ k = 'zero' OR contains(k, 'by') AND NOT contains(k, '-nd') AS granted, array_to_string(list_filter({GRANTS}, lambda x: x IS NOT NULL), ',') AS conditions FROM k""")
+def license_decisions(t: Tables) -> DataFrame:
+    """The ladder over URLs that name the licence a text speaks of."""
+    low = F.lower("text")
+    named = F.regexp_extract(low, "(by(-nc)?(-nd|-sa)?)-?[0-9]", 1)
+    url = (
+        F.when(named != "", F.concat(F.lit(" https://CreativeCommons.org/licenses/"), named, F.lit("/4.0/"))).when(low.contains("apache license"), F.lit("https://www.apache.org/licenses/"))
+        .when(low.contains("mit license"), F.lit("https://creativecommons.org/publicdomain/zero/1.0/")).when(F.col("doc_id") % 2 == 0, F.lit("http://arxiv.org/licenses/nonexclusive-distrib/1.0/license.html"))
+    )
+    out = t.documents.select("doc_id", L.decision(F.coalesce(url, F.lit(" "))).alias("d"))
+    return out.select("doc_id", "d.family", "d.status", F.col("d.grant").alias("granted"), F.array_join("d.conditions", ",").alias("conditions"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'a&b' ELSE '' END AS href FROM pages")
+def license_link(t: Tables) -> DataFrame:
+    """The licence block's link in pages that hold one, quoted either way, in a closed block, or none."""
+    made = F.lit("<!-- <div class='abs-license'><a href='x'></a></div> -->")
+    made = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<p><a href="#"></a></p><div class="z abs-license"><span><br/><a>no</a></span><A title=">" HREF="'), "url", F.lit('">l</A><a href="second"></a></div>'))).otherwise(made)
+    made = F.when(F.col("page_id") % 4 == 1, F.lit("<div class='abs-license'><a href='a&amp;b'></a></div>")).otherwise(made)
+    made = F.when(F.col("page_id") % 4 == 2, F.lit("<div class='abs-license'></div><a href='late'></a>")).otherwise(made)
+    return t.pages.select("page_id", L.block_href(F.concat(made, F.coalesce("html", F.lit("")))).alias("href"))
+
+
 @query(f"SELECT family, status, doc_id, row_number() OVER (PARTITION BY family, status ORDER BY doc_id) AS position FROM (SELECT doc_id, {FAMILY} AS family, {STATUS} AS status FROM documents) WHERE family <> 'unknown'")
 def license_ids(t: Tables) -> DataFrame:
     """The ids of each family, a row for each, so that no family is one value."""
     rows = t.documents.select("doc_id", X.license_family(F.col("text")).alias("family"), X.license_family(F.col("text"), 2).alias("status")).filter("family <> 'unknown'")
-    return rows.select("family", "status", "doc_id", F.row_number().over(Window.partitionBy("family", "status").orderBy("doc_id")).cast("long").alias("position"))
+    return O.placed(rows, ["family", "status"], ["doc_id"], "position").select("family", "status", "doc_id", "position")
 
 
 @query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark),

@@ -39,11 +39,11 @@ def figure_score(t: Tables) -> DataFrame:
 
 
 @query("""SELECT p_partkey, CASE WHEN p_type LIKE '%TIN%' OR nodes < 3 OR edges < 2 OR edges > greatest(100, 8 * nodes) OR p_partkey % 11 = 0 OR hits < 1 THEN -100.0
- ELSE round_even(CAST(least(20.0, 4 + 1.5 * hits) + least(6.0, nodes * 0.25) + least(4.0, labels * 0.2) AS DOUBLE), 3) END AS score
+ ELSE round_even(CAST(least(20.0, 4 + 1.5 * hits) + least(8.0, nodes * 0.35) + least(8.0, edges * 0.35) + CASE WHEN labels > 0 THEN 2 ELSE 0 END + CASE WHEN p_brand LIKE '%1' THEN 2 ELSE 0 END AS DOUBLE), 3) END AS score
 FROM (SELECT *, p_size AS nodes, CAST(p_partkey % 211 AS INT) AS edges, CAST(p_partkey % 7 AS INT) AS hits, length(p_name) AS labels FROM part)""")
 def structured_score(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
-    score = R.structured_score(F.col("p_type").contains("TIN"), F.col("p_size"), (k % 211).cast("int"), k % 11 == 0, (k % 7).cast("int"), F.length("p_name"))
+    score = R.structured_score(F.col("p_type").contains("TIN"), F.col("p_size"), (k % 211).cast("int"), k % 11 == 0, (k % 7).cast("int"), F.length("p_name") > 0, F.col("p_brand").endswith("1"))
     return t.part.select("p_partkey", score.alias("score"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as X
@@ -138,7 +138,7 @@ def event_prefix_offsets(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS attempt FROM events")
 def attempt_ordinals(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long").alias("attempt"))
+    return O.placed(t.events.select("event_id", "event_type", "ts"), ["event_type"], ["ts", "event_id"], "attempt").select("event_id", "attempt")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
