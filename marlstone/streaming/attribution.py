@@ -2,62 +2,43 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "log string, line long, verdict string"
 
 
-class Attribution(StatefulProcessor):
-    def __init__(self, error: str, ends: dict[str, str], closing: str | None, idle_ms: int):
-        self.error, self.ends, self.closing, self.idle = error, ends, closing, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.pending = handle, handle.getListState("pending", "line long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        open_, out = [r[0] for r in self.pending.get()], []
-        new = pd.concat(list(rows)).sort_values("line", kind="stable")
-        for line, kind in new[["line", "kind"]].itertuples(index=False):
-            if kind == self.error:
-                open_.append(int(line))
-            elif kind in self.ends or (self.closing is not None and kind == self.closing):
-                out += [(x, self.ends.get(kind, "error")) for x in open_]
-                open_ = []
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if open_:
-            self.pending.put([(x,) for x in open_])
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
-        else:
-            self.pending.clear()
-        yield self.said(key, out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = [(r[0], "error") for r in self.pending.get()]
-        self.pending.clear()
-        yield self.said(key, out)
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def said(key: tuple, out: list[tuple[int, str]]) -> pd.DataFrame:
-        return pd.DataFrame({"log": [key[0]] * len(out), "line": pd.Series([x for x, _ in out], dtype="int64"), "verdict": pd.Series([v for _, v in out], dtype="object")})
-
-
 def attributed(lines: DataFrame, error: str, ends: dict[str, str], closing: str | None = None, idle_ms: int = 3_600_000) -> DataFrame:
     """(log, line, verdict) of a stream of (log string, line long, kind string).
 
     Each `error` line takes the verdict of its log's next line whose kind is in `ends`. It is an error if a line of the
     kind `closing` comes first, or if its log says nothing for `idle_ms`. Verdicts don't depend on how lines fall into
     triggers, as long as a log's lines come in order from trigger to trigger; within one they are sorted. State is the
-    numbers of open errors; timers clear it, and no time to live is set, since a query that was down for longer would
-    lose verdicts. The session needs the RocksDB state store.
+    numbers of a log's open errors; an end, a close or the timeout clears it. Lines without a log give nothing.
     """
-    processor = Attribution(error, ends, closing, idle_ms)
-    return lines.select("log", "line", "kind").groupBy("log").transformWithStateInPandas(processor, OUT, "Append", "ProcessingTime")
+    verdicts = dict(ends) if closing is None else {closing: "error", **ends}
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_, out = (json.loads(state.get[0]) if state.exists else []), []
+        if state.hasTimedOut:
+            out, open_ = [(x, "error") for x in open_], []
+        else:
+            for line, kind in pd.concat(list(batches)).sort_values("line", kind="stable")[["line", "kind"]].itertuples(index=False):
+                if kind == error:
+                    open_.append(int(line))
+                elif kind in verdicts:
+                    out += [(x, verdicts[kind]) for x in open_]
+                    open_ = []
+        if open_:
+            state.update((json.dumps(open_),))
+            state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"log": [key[0]] * len(out), "line": [x for x, _ in out], "verdict": [v for _, v in out]})
+
+    known = lines.select("log", "line", "kind").filter("log IS NOT NULL")
+    return known.groupBy("log").applyInPandasWithState(fold, OUT, "open string", "append", GroupStateTimeout.ProcessingTimeTimeout)
