@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import types as T
@@ -31,13 +32,14 @@ class UntilSums:
             out.add(f"sum_{n.strip()}", sums)
         return AnalyzeResult(schema=out)
 
-    def __init__(self) -> None:
-        self.sums: list | None = None
+    def __init__(self, result: AnalyzeResult) -> None:
+        self.kinds, self.sums = [f.dataType for f in result.schema.fields], None
 
     def eval(self, row: Row, columns: str, targets: str) -> Iterator[tuple]:
         if self.sums is None:
             self.names, self.goals = [n.strip() for n in columns.split(",")], [float(g) for g in targets.split(",")]
-            self.sums = [0] * len(self.names)
+            zero = {T.DecimalType: Decimal(0), T.DoubleType: 0.0}  # of the column's type: another one would be read as null
+            self.sums = [zero.get(type(k), 0) for k in self.kinds[-len(self.names) :]]
         for i, n in enumerate(self.names):
             self.sums[i] += row[n] or 0
         yield (*row, *self.sums)
