@@ -261,15 +261,18 @@ class Tree:
     """A signature tree of a root's sets, ordered by size and then by least shingle so that copies lie together.
 
     A node is (parts, positions, bitmaps, OR bitmap, least size, greatest size, slack); leaves hold LEAF sets and their
-    bitmaps. A node's width is that of its smallest set: four bits a shingle. Slack is the most shingles of a set beyond
-    its bits; an overlap is at most the common bits and the slack of the narrower side.
+    bitmaps, all of one width, as a long set folded to a short one's width would seem similar to anything. A node's width
+    is that of its smallest set: four bits a shingle. Slack is the most shingles of a set beyond its bits; an overlap is
+    at most the common bits and the slack of the narrower side.
     """
 
     def __init__(self, maps: list[bytes]):
         maps = [np.frombuffer(m, dtype=np.uint64) for m in maps]
         self.n = np.array([m[0] for m in maps], dtype=np.int64)
-        order = np.lexsort((np.array([m[1] for m in maps]), np.floor(np.log(self.n) * 8)))
-        leaves = [self.leaf(order[a : a + LEAF], maps) for a in range(0, len(order), LEAF)]
+        width = np.array([len(m) for m in maps])
+        order = np.lexsort((np.array([m[1] for m in maps]), np.floor(np.log(self.n) * 8), width))
+        of_one = np.split(order, np.flatnonzero(np.diff(width[order])) + 1)
+        leaves = [self.leaf(own[a : a + LEAF], maps) for own in of_one for a in range(0, len(own), LEAF)]
         while len(leaves) > 1:
             leaves = [self.over(leaves[a : a + 2]) for a in range(0, len(leaves), 2)]
         self.top = leaves[0]
