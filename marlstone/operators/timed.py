@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.session import written
+
 #: Distinct times of a key in a bucket of its own, on average; points of a bin before it is split, and least share of all.
 BUCKET, HOT, SHARE = 4096, 10_000, 1000
 
@@ -45,8 +47,9 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: li
     pick = F.max_by(row, F.col(tie)) if tie else F.max(row)
     given = right.filter(known).groupBy(*named).agg(pick.alias("__v"))
     asked = left.filter(known).select(*named).distinct().withColumn("__v", F.lit(None).cast(given.schema["__v"].dataType))
-    points = asked.unionByName(given).groupBy(*named).agg(F.max("__v").alias("__v"))
-    points = points.withColumn("__b", buckets(points, at, points.count()))
+    # written, as the cuts, the ends and the windows each read the points, and `left` and `right` may be costly
+    points = written(asked.unionByName(given).groupBy(*named).agg(F.max("__v").alias("__v")))
+    points = written(points.withColumn("__b", buckets(points, at, points.count())))
     # within a bucket: the window's own last value; before it: the last of the key's buckets that has one
     ends = points.filter("__v IS NOT NULL").groupBy(*keys, "__b").agg((F.min_by if forward else F.max_by)("__v", at).alias("__end"))
     every = points.select(*keys, "__b").distinct().join(ends, [*keys, "__b"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import typed as V
 from marlstone.plans.base import Tables, query
+from marlstone.session import spread
 from marlstone.sources import agent_logs as A
 
 MADE = """m AS (SELECT event_id AS line, user_id AS log, user_id % 3 AS a, event_type AS t, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 100 AS o FROM events)"""
@@ -14,7 +15,7 @@ MADE = """m AS (SELECT event_id AS line, user_id AS log, user_id % 3 AS a, event
 
 def log_lines(t: Tables) -> DataFrame:
     """(log, agent, line, value): five kinds of event are five kinds of line for each agent."""
-    e = t.events.select(F.col("event_id").alias("line"), F.col("user_id").alias("log"), F.col("event_type").alias("t"), F.get_json_object("props", "$.k").alias("k"), (F.col("event_id") % 100).cast("string").alias("o"))
+    e = spread(t.events.select("event_id", "user_id", "event_type", "props")).select(F.col("event_id").alias("line"), F.col("user_id").alias("log"), F.col("event_type").alias("t"), F.get_json_object("props", "$.k").alias("k"), (F.col("event_id") % 100).cast("string").alias("o"))
     i = F.col("line").cast("string")
     say = lambda pattern, *c: F.format_string(pattern, *c)
     k, o = F.col("k"), F.col("o")

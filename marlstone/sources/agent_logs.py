@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.timed import asof
+from marlstone.session import written
 
 COUNTERS = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")
 NONE = {
@@ -34,7 +35,7 @@ def kind(e: Column) -> Column:
 
 
 def is_object(e: Column, path: str) -> Column:
-    return F.coalesce(kind(part(e, path)) == "OBJECT", F.lit(False))
+    return F.try_variant_get(e, f"$.{path}", "map<string,variant>").isNotNull()
 
 
 def counter(e: Column, path: str) -> Column:
@@ -92,7 +93,7 @@ def events(lines: DataFrame) -> DataFrame:
     a role. `outcome` is that of W6's events: error, good or bad. Counters that aren't whole numbers of 0 or more are 0.
     """
     parsed = lines.select("log", "agent", "line", F.try_parse_json("value").alias("e"))
-    whole = F.coalesce(kind(F.col("e")) == "OBJECT", F.lit(False))
+    whole = F.try_variant_get(F.col("e"), "$", "map<string,variant>").isNotNull()
     e, of = F.col("o"), F.coalesce(text(F.col("o"), "type"), F.lit(""))
     # an explode of one element keeps what is above it from repeating what is below: a line is parsed once, and plans stay small
     shaped = parsed.select("log", "agent", "line", F.explode(F.array(F.struct(F.col("e").isNull().alias("parse_error"), F.when(whole, F.col("e")).alias("o")))).alias("x")).select("log", "agent", "line", "x.*")
@@ -147,7 +148,11 @@ def verdicts(rows: DataFrame) -> DataFrame:
 
 
 def diagnostics(rows: DataFrame) -> DataFrame:
-    """A row for each log: lines, lines that aren't JSON, errors, warnings, and whether all errors are ends at the limit of turns."""
+    """A row for each log: lines, lines that aren't JSON, errors, warnings, and whether all errors are ends at the limit of turns.
+
+    The few columns that verdicts and counts need are written once, so each line is parsed once.
+    """
+    rows = written(rows.select("log", "line", "parse_error", "outcome", "turn_limit"))
     told = rows.join(verdicts(rows), ["log", "line"], "left")
     errors = F.count_if(F.col("verdict") == "error")
     return told.groupBy("log").agg(
