@@ -97,8 +97,8 @@ def check(v: Column, spec: object, path: str = "$") -> Column:
     if isinstance(spec, OneOf):
         return _one((kind(v) != "STRING") | ~get(v, "$", "string").isin(*spec.values), path, "not a known value")
     if isinstance(spec, Arr):
-        inside = let(get(v, "$", LIST), lambda items: F.flatten(F.transform(items, lambda x: check(x, spec.of, f"{path}[]"))))
-        return F.when(F.coalesce(kind(v) != "ARRAY", F.lit(True)), F.array(F.lit(f"{path}: not an array"))).otherwise(inside)
+        inside = lambda items: F.flatten(F.transform(items, lambda x: check(x, spec.of, f"{path}[]")))
+        return let(get(v, "$", LIST), lambda items: F.when(items.isNull(), F.array(F.lit(f"{path}: not an array"))).otherwise(inside(items)))
     assert isinstance(spec, Obj)
 
     def parts(m: Column) -> Column:
@@ -107,10 +107,11 @@ def check(v: Column, spec: object, path: str = "$") -> Column:
         inner = [F.when(F.array_contains(keys, k), check(m[k], of, f"{path}.{k}")).otherwise(F.array().cast(STRINGS)) for k, of in spec.fields.items()]
         return F.concat(told(F.array_except(expected, keys), "missing"), told(F.array_sort(F.array_except(keys, expected)), "unknown"), *inner)
 
-    found = let(get(v, "$", MAP), parts)
+    # only an object is a map: its schema, which spells out all that it holds, isn't asked for
+    found = let(get(v, "$", MAP), lambda m: F.when(m.isNull(), F.array(F.lit(f"{path}: not an object"))).otherwise(parts(m)))
     for what, holds in spec.rules:
         found = _unless(found, _one(~holds(v), path, what))
-    return F.when(F.coalesce(kind(v) != "OBJECT", F.lit(True)), F.array(F.lit(f"{path}: not an object"))).otherwise(found)
+    return found
 
 
 #: A gate's answer: one that is triggered has a reason.

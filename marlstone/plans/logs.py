@@ -83,7 +83,7 @@ def answers(t: Tables, types: dict[str, str]) -> DataFrame:
     doc = F.lit(None).cast("string")
     for of, text in types.items():
         doc = F.when(F.col("event_type") == of, F.format_string(text, *[F.col("event_id").cast("string")] * text.count("%s"))).otherwise(doc)
-    return t.events.select("event_id", "event_type", F.parse_json(doc).alias("doc"))
+    return spread(t.events.select("event_id", "event_type")).select("event_id", "event_type", F.parse_json(doc).alias("doc"))
 
 
 def answer(cases: str = "", ratio: str = "0", other: str = '"cases":[],"ratio":0', more: str = "") -> str:
