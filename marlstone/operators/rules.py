@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.ordered import placed
 from marlstone.operators.select import first_reason
+from marlstone.session import written
+
+#: Texts of a side of a page that meet in one task.
+SIDE = 64
 
 
 def hard_filter(width: Column, height: Column, kept: Column, side: int = 400, area: int = 250_000, aspect: tuple[float, float] = (0.4, 4.0)) -> Column:
@@ -172,30 +176,60 @@ def matched_texts(docs: DataFrame, key: str, canvas: tuple[int, int] = (1600, 90
     as their words, in lower case. References go by falling number of words; each takes the free candidate of the greatest
     0.72 x text ratio + 0.28 x nearness among those whose text ratio is 0.25 or more, the earlier one among equals.
     Nearness falls to 0 at 0.35 of the canvas's diagonal. Without references the mean is 1 if there are no candidates
-    either, else 0. A pair of pages is one group, whose rows are bounded by what a page holds.
+    either, else 0. Texts meet in blocks of SIDE of each side, so a long page's ratios are computed by many tasks; the one
+    that gives a page's candidates away has numbers alone.
     """
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in (key, "position", "x", "y")}
 
-    def match(t):
-        import math
+    def worded(batches):
         import re
+
+        for t in batches:
+            words = [re.findall(r"\w+", x.casefold()) for x in t["text"]]
+            yield t.assign(n=[len(w) for w in words], text=[" ".join(w) for w in words])
+
+    def compare(t):
         from difflib import SequenceMatcher
 
         import pandas as pd
 
-        t = t.sort_values("position")
-        words = [re.findall(r"\w+", x.casefold()) for x in t["text"]]
-        page = [(s == "reference", len(w), " ".join(w), x * canvas[0], y * canvas[1]) for s, w, x, y in zip(t["side"], words, t["x"], t["y"], strict=True)]
-        wanted = sorted((p for p in page if p[0]), key=lambda p: p[1], reverse=True)
-        given, reach, taken, total = [p for p in page if not p[0]], 0.35 * math.hypot(*canvas), set(), 0.0
-        for _, _, text, x, y in wanted:
-            ratios = [(i, SequenceMatcher(None, text, c[2]).ratio()) for i, c in enumerate(given) if i not in taken]
-            fits = [(0.72 * r + 0.28 * max(0.0, 1 - math.dist((x, y), given[i][3:]) / reach), -i) for i, r in ratios if r >= 0.25]
-            if fits:
-                best, at = max(fits)
-                taken.add(-at)
+        given, wanted, out = t[~t["ref"]], t[t["ref"]], {}
+        for c in given["text"].unique():
+            of = SequenceMatcher(None, "", c)  # keeps what it learns of its second text
+            for r in wanted["text"].unique():
+                of.set_seq1(r)
+                # two bounds from above, the second with all its counts, then the ratio
+                out[r, c] = of.ratio() if of.real_quick_ratio() >= 0.25 and of.quick_ratio() >= 0.25 else 0.0
+        found = [(a, b, out[r, c]) for a, r in zip(wanted["i"], wanted["text"], strict=True) for b, c in zip(given["i"], given["text"], strict=True) if out[r, c] >= 0.25]
+        return pd.DataFrame({key: [t[key].iloc[0]] * len(found), "a": [f[0] for f in found], "b": [f[1] for f in found], "ratio": [f[2] for f in found]})
+
+    def match(t, ratios):
+        import math
+
+        import pandas as pd
+
+        t = t.sort_values(["position", "i"])
+        given, wanted = t[~t["ref"]], t[t["ref"]].sort_values("n", ascending=False, kind="stable")
+        at = {i: (k, x * canvas[0], y * canvas[1]) for k, (i, x, y) in enumerate(zip(given["i"], given["x"], given["y"], strict=True))}
+        fits, reach, taken, total = {a: (own["b"], own["ratio"]) for a, own in ratios.groupby("a")}, 0.35 * math.hypot(*canvas), set(), 0.0
+        for a, x, y in zip(wanted["i"], wanted["x"] * canvas[0], wanted["y"] * canvas[1], strict=True):
+            free = [(0.72 * r + 0.28 * max(0.0, 1 - math.dist((x, y), at[b][1:]) / reach), -at[b][0]) for b, r in zip(*fits.get(a, ((), ())), strict=True) if at[b][0] not in taken]
+            if free:
+                best, place = max(free)
+                taken.add(-place)
                 total += best
-        score = total / len(wanted) if wanted else float(not given)
+        score = total / len(wanted) if len(wanted) else float(not len(given))
         return pd.DataFrame({key: [t[key].iloc[0]], "score": [round(score, 6)], "references": [len(wanted)], "candidates": [len(given)]})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.groupBy(key).applyInPandas(match, f"{key} {kind}, score double, references long, candidates long")
+    numbers = f"{key} {kinds[key]}, ref boolean, i long, position {kinds['position']}, x {kinds['x']}, y {kinds['y']}, n long"
+    rows = docs.select(key, (F.col("side") == "reference").alias("ref"), F.monotonically_increasing_id().alias("i"), "position", "x", "y", F.lit(0).cast("bigint").alias("n"), "text")
+    parts = 4 * docs.rdd.getNumPartitions()  # by number: texts are few bytes for the work that they give
+    rows = written(rows.repartition(parts).mapInPandas(worded, f"{numbers}, text string"))
+    sizes = rows.groupBy(F.col(key).alias("__k")).agg(*[F.ceil(F.count_if(c) / SIDE).cast("int").alias(n) for c, n in ((F.col("ref"), "__rs"), (~F.col("ref"), "__cs"))])
+    dealt = rows.join(F.broadcast(sizes.filter("__rs > 1 OR __cs > 1")), F.col(key).eqNullSafe(F.col("__k")), "left")
+    mine, other = ((F.greatest(F.when(F.col("ref"), F.col(a)).otherwise(F.col(b)), F.lit(1))) for a, b in (("__rs", "__cs"), ("__cs", "__rs")))
+    dealt = dealt.select(key, "ref", "i", "text", F.pmod(F.xxhash64("i"), mine).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), other - 1)).alias("met"))
+    block = lambda a, b, n: F.when(F.col("ref"), F.col(a)).otherwise(F.col(b)).alias(n)
+    ratios = dealt.select(key, "ref", "i", "text", block("own", "met", "r"), block("met", "own", "c")).repartition(parts, key, "r", "c").groupBy(key, "r", "c").applyInPandas(compare, f"{key} {kinds[key]}, a long, b long, ratio double")
+    pages = rows.drop("text").repartition(parts, key).groupBy(key).cogroup(ratios.repartition(parts, key).groupBy(key))
+    return pages.applyInPandas(match, f"{key} {kinds[key]}, score double, references long, candidates long")
