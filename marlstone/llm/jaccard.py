@@ -10,6 +10,8 @@ that connects anything is lost: prefixes and bounds are exact.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -161,6 +163,8 @@ def shared_shingles(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarr
     out = np.zeros((2, WORDS_OF), dtype=np.uint64)
     for i, c in enumerate(("shared", "often")):
         out[i, table_.column("w").to_numpy()] = table_.column(c).to_numpy().view(np.uint64)
+    del table_
+    give_back()
     return out[0], out[1]
 
 
@@ -575,6 +579,10 @@ def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     buckets = buckets_of(docs)
     common, often = shared_shingles(docs, buckets)
     found = written(roots(postings(docs, common, often, buckets), buckets))
+    # the driver needs the maps no more, and functions that hold them are in cycles
+    del common, often
+    gc.collect()
+    give_back()
     comps = written(components(written(connected(found, docs, rows))))
     whole = rows.join(comps, F.col("sid") == F.col("v"), "left").select("__id", "th", "n", F.coalesce("c", "sid").alias("c"))
     least = whole.filter("c IS NOT NULL").groupBy("c").agg(F.min("__id").alias("m")).withColumnRenamed("c", "d")

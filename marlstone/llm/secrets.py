@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from array import array
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.automaton import Dfa, Parser, backwards, compile_rules
-from marlstone.llm.common import map_batches, table
+from marlstone.llm.common import give_back, map_batches, table
 
 
 @dataclass(frozen=True)
@@ -127,10 +128,14 @@ def scanner_for(rules: tuple[Rule, ...]) -> Scanner:
     return Scanner(rules)
 
 
+@lru_cache(maxsize=4)
 def shipped(rules: tuple[Rule, ...]):
-    """A function that gives a task its scanner; what travels is an array of machine integers."""
-    made = scanner_for(rules)
+    """A function that gives a task its scanner; what travels, and all that the driver keeps, is an array of machine integers."""
+    made = Scanner(rules)
     parts = (made.rules, made.back, array("i", made.forward.table), Dfa(**{**made.forward.__dict__, "table": []}))
+    del made
+    gc.collect()
+    give_back()
 
     def open_() -> Scanner:
         out = Scanner.__new__(Scanner)
