@@ -23,3 +23,9 @@ def both(spark, path, name, ids):
 def test_classify_equals_sql(spark, tmp_path):
     got, want = both(spark, tmp_path, "license_classify", range(2 * len(TEXTS)))
     assert got == want and {f for _, f, _ in got} == {"unknown", "mit", "apache", "gpl", "cc-by-sa", "cc-by-nc", "cc-by-nc-nd"}
+
+
+def test_ids_equal_sql_with_absent_ids_last(spark, tmp_path):
+    """Positions count on behind ids that are there, none for rows without a text."""
+    got, want = both(spark, tmp_path, "license_ids", [None if i % 4 == 1 else 90 - i for i in range(2 * len(TEXTS))])
+    assert got == want and any(k is None and position > 1 for _, _, k, position in got)
