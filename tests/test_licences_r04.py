@@ -29,3 +29,8 @@ def test_ids_equal_sql_with_absent_ids_last(spark, tmp_path):
     """Positions count on behind ids that are there, none for rows without a text."""
     got, want = both(spark, tmp_path, "license_ids", [None if i % 4 == 1 else 90 - i for i in range(2 * len(TEXTS))])
     assert got == want and any(k is None and position > 1 for _, _, k, position in got)
+
+
+def test_summary_equals_sql(spark, tmp_path):
+    got, want = both(spark, tmp_path, "license_summary", range(2 * len(TEXTS)))
+    assert got == want and len(want) == 6
